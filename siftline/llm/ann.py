@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, row_count
+from siftline.llm.common import hash_sample, materialise, row_count
 
 SAMPLE = 20_000
 BRANCH = 8
@@ -180,7 +180,7 @@ class Index:
     def __init__(self, vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL):
         self.k = k
         rows = usable(vectors)
-        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        sample = sorted(hash_sample(rows, SAMPLE, "vec_id").collect())
         self.empty = not sample
         if self.empty:
             self.rows = rows
@@ -201,7 +201,7 @@ class Index:
         self.visits, self.calibrated = self._calibrate(recall)
 
     def _calibrate(self, recall: float) -> tuple[int, float]:
-        known = self.queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()
+        known = sorted(hash_sample(self.queries, CALIBRATION, "vec_id").collect())
         if not known:
             return 1, 1.0
         ids, q = np.array([r.vec_id for r in known]), np.array([r.vec for r in known])

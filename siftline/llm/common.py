@@ -51,9 +51,13 @@ def row_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, in that order; all others, clashing names included, are left behind."""
-    return df.select(*[F.col(n) for n in names])
+def hash_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """About ``size`` rows, at most 1.25 times as many: those whose keys hash below a threshold. The
+    filter runs where the rows are; nothing but the sample moves, however large the table is."""
+    n = row_count(df)
+    if n > size:
+        df = df.where(F.xxhash64(*keys) < F.lit(int(2**64 * size / n) - 2**63))
+    return df.limit(size + size // 4)
 
 
 # --- text batches -----------------------------------------------------------------------------
@@ -96,7 +100,7 @@ BASE = 0x9E3779B97F4A7C13
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
         size = max(n, 1 << 20)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
@@ -132,7 +136,7 @@ def spans_of(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each span's bytes (ASCII case ignored if ``fold``), from running sums."""
-    up, down = _power_tables(len(buf) + 1)
+    up, down = power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((FOLDED_CODE if fold else BYTE_CODE)[buf] * up[: len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

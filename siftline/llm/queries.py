@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import ann, hilbert_shards, quality, sentencepieces, token_counts, warc
+from siftline.llm import ann, decontaminate, hilbert_shards, ngram_join, quality, sentence_spans, sentencepieces, token_counts, warc
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shards(table(spark, sf_dir, "documents"), ["lang", "source"])
 
@@ -31,6 +35,10 @@ def op4_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -44,9 +52,14 @@ def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_sharding, op3_warc_dictionary, op4_sentencepiece_offsets, op7_kmeans_tree_ann, op8_quality_rff, op9_prefix_token_counts)}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.deduplicate(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hilbert_sharding, op3_warc_dictionary, op4_sentencepiece_offsets, op6_winnowing_decontamination, op7_kmeans_tree_ann, op8_quality_rff, op9_prefix_token_counts, op10_sentence_spans)}
 
 ORACLE_SQL = {
+    "op6_winnowing_decontamination": decontaminate.ORACLE,
     "op3_warc_dictionary": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise
+from siftline.llm.common import hash_sample, materialise
 
 LEAST = 1000
 ARCHIVE_BYTES = 4 << 20
@@ -102,10 +102,10 @@ def split_archive(data: bytes):
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary of DICTIONARY_BYTES from the SAMPLE records with the smallest hashes of ids."""
+    """A dictionary of DICTIONARY_BYTES from about SAMPLE records, chosen by the hashes of their ids."""
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.where(F.octet_length(payload).between(1, SAMPLE_PAYLOAD)).orderBy(F.xxhash64("page_id", "url"), "page_id").select("page_id", "url", payload).limit(SAMPLE)
-    samples = [record(p, u, (h := x.encode()), hashlib.sha1(h).hexdigest()) for p, u, x in rows.collect()]
+    rows = hash_sample(pages.where(F.octet_length(payload).between(1, SAMPLE_PAYLOAD)), SAMPLE, "page_id", "url").select("page_id", "url", payload).collect()
+    samples = [record(p, u, (h := x.encode()), hashlib.sha1(h).hexdigest()) for p, u, x in sorted(rows, key=str)]
     if len(samples) < 8:
         return b""
     try:
