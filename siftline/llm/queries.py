@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import ann, decontaminate, hilbert_shards, ngram_join, quality, sentence_spans, sentencepieces, token_counts, warc
+from siftline.llm import ann, decontaminate, hilbert_shards, ngram_join, quality, secrets, sentence_spans, sentencepieces, token_counts, warc
 
 
 def tokenizer(name: str) -> str:
@@ -35,6 +35,10 @@ def op4_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hilbert_sharding, op3_warc_dictionary, op4_sentencepiece_offsets, op6_winnowing_decontamination, op7_kmeans_tree_ann, op8_quality_rff, op9_prefix_token_counts, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hilbert_sharding, op3_warc_dictionary, op4_sentencepiece_offsets, op5_secret_forest, op6_winnowing_decontamination, op7_kmeans_tree_ann, op8_quality_rff, op9_prefix_token_counts, op10_sentence_spans)}
 
 ORACLE_SQL = {
     "op6_winnowing_decontamination": decontaminate.ORACLE,
