@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import quality, sentencepieces
+from siftline.llm import decontaminate, ngram_join, quality, secrets, sentencepieces
 from siftline.llm.common import materialise
 from siftline.llm.queries import table, tokenizer
 
@@ -15,14 +15,29 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, model)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates, the document with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of two or more benchmark items."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, secrets replaced by a mark."""
+    return secrets.redact(docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and source spans of what is left."""
     return sentencepieces.encode(docs, tokenizer("piece_bpe_32k.model"))
 
 
-STAGES = [("quality", good_quality), ("encode", encoded)]
+STAGES = [("quality", good_quality), ("near duplicates", one_of_each), ("decontamination", uncontaminated), ("secrets", without_secrets), ("encode", encoded)]
 
-#: No stage but the deduplication could be put as SQL.
+#: The classifier's scores and the forest's can't be put as SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
