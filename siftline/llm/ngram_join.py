@@ -201,14 +201,33 @@ class _Shared:
         return c[tell]
 
 
-_COUNTS = "cls long, shared long, id long, n int, head int"
+_PARTIAL = "bucket int, classes binary, counts binary, ids binary, sizes binary"
+_COUNTS = "cls long, id long, n int, head int, shared long"
+
+
+def _parts(df: DataFrame, fragments: int) -> int:
+    return max(1, min(2 * fragments, max(fragments // 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def _bytes_rows(bucket: np.ndarray, *columns: np.ndarray):
+    """Sorted by bucket, cut into one value of bytes per bucket and column."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(edge[1:], len(bucket))
+    return pa.array(bucket[edge].astype(np.int32)), [pa.array([c[order][a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary()) for c in columns]
 
 
 def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
-    """Per class and fragment, how many n-grams another class has; documents pass through."""
-    parts = max(1, min(2 * fragments, max(fragments // 4, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    """Per class, how many n-grams another class has (``shared``); with each document's row.
 
-    def run(batches):
+    Fragments give partial counts, packed by bucket of class; a second shuffle sums them up. Rows
+    of documents come out as they are, rows of counts have no id."""
+    parts = _parts(packed, fragments)
+    buckets = _U(parts)
+    names = ["bucket", "classes", "counts", "ids", "sizes"]
+
+    def meet(batches):
         shared: dict[int, _Shared] = {}
         held: dict[int, list] = {}
         told: list[np.ndarray] = []
@@ -217,8 +236,10 @@ def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
             if told and (force or sum(map(len, told)) > SLICE):
                 c, n = np.unique(np.concatenate(told), return_counts=True)
                 told.clear()
-                gap = lambda t: pa.nulls(len(c), t)
-                yield pa.RecordBatch.from_arrays([pa.array(_long(c)), pa.array(n), gap(pa.int64()), gap(pa.int32()), gap(pa.int32())], ["cls", "shared", "id", "n", "head"])
+                if len(c):
+                    bucket, (classes, count) = _bytes_rows((c % buckets).astype(np.int64), c, n.astype(np.int32))
+                    gap = pa.nulls(len(bucket), pa.binary())
+                    yield pa.RecordBatch.from_arrays([bucket, classes, count, gap, gap], names)
 
         def settle(f: int):
             grams, classes = zip(*held.pop(f), strict=True)
@@ -229,8 +250,9 @@ def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
             for x, fragment in enumerate(f.to_numpy()):
                 cls = np.frombuffer(c[x].as_py(), np.uint64)
                 if fragment < 0:
-                    own, two = np.frombuffer(ids[x].as_py(), np.int64), np.frombuffer(sizes[x].as_py(), np.int64).reshape(-1, 2).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(_long(cls)), pa.nulls(len(cls), pa.int64()), pa.array(own), pa.array(two[:, 0]), pa.array(two[:, 1])], ["cls", "shared", "id", "n", "head"])
+                    own, two = np.frombuffer(ids[x].as_py(), np.int64), np.frombuffer(sizes[x].as_py(), np.int64).reshape(-1, 2)
+                    bucket, (classes, mine, size) = _bytes_rows((cls % buckets).astype(np.int64), cls, own, np.ascontiguousarray(two.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([bucket, classes, pa.nulls(len(bucket), pa.binary()), mine, size], names)
                     continue
                 held.setdefault(fragment, []).append((np.frombuffer(g[x].as_py(), np.uint32), cls))
                 if sum(len(y[1]) for y in held[fragment]) > SLICE:
@@ -242,7 +264,33 @@ def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
             yield from counts(False)
         yield from counts(True)
 
-    return packed.repartition(parts, "fragment").mapInArrow(run, _COUNTS)
+    def total(batches):
+        cls, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            both = np.concatenate([cls, *(c for c, _ in held)])
+            c, at = np.unique(both, return_inverse=True)
+            return c, np.bincount(at, np.concatenate([n, *(k for _, k in held)]), len(c)).astype(np.int64)
+
+        for b in batches:
+            _, classes, counts, ids, sizes = (b.column(x) for x in range(5))
+            for x in range(len(b)):
+                c = np.frombuffer(classes[x].as_py(), np.uint64)
+                if ids[x].is_valid:
+                    two = np.frombuffer(sizes[x].as_py(), np.int32).reshape(-1, 2)
+                    columns = [pa.array(_long(c)), pa.array(np.frombuffer(ids[x].as_py(), np.int64)), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.nulls(len(c), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["cls", "id", "n", "head", "shared"])
+                else:
+                    held.append((c, np.frombuffer(counts[x].as_py(), np.int32)))
+                    if sum(len(k) for k, _ in held) > SLICE:
+                        cls, n = merged()
+                        held.clear()
+        cls, n = merged()
+        gap = lambda t: pa.nulls(len(cls), t)
+        yield pa.RecordBatch.from_arrays([pa.array(_long(cls)), gap(pa.int64()), gap(pa.int32()), gap(pa.int32()), pa.array(n)], ["cls", "id", "n", "head", "shared"])
+
+    return packed.repartition(parts, "fragment").mapInArrow(meet, _PARTIAL).repartition(parts, "bucket").mapInArrow(total, _COUNTS)
 
 
 def _spare(percent: int) -> Column:
