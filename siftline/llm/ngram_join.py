@@ -46,6 +46,7 @@ SLICE = 4_000_000
 PARTS = 8
 SKETCH_BITS = 1024
 BLOCK = 1500
+FILTER_BYTES = 4 << 20
 
 _codes = np.arange(256)
 _SEPARATES = np.isin(_codes, [32, 9, 10, 11, 12, 13])
@@ -321,6 +322,66 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SETS)
 
 
+class _Filter:
+    """A Bloom filter of FILTER_BYTES, whatever the number of ids: the proven bound of what is sent
+    to executors. It only keeps texts from a shuffle; an exact join follows."""
+
+    CHUNK = 1 << 16
+    HASHES = 4
+
+    @classmethod
+    def places(cls, ids: np.ndarray, n_bytes: int) -> np.ndarray:
+        h = mix(ids.astype(np.int64).view(np.uint64) + PLACE[50])
+        step = mix(h + PLACE[51]) | _U(1)
+        return np.concatenate([(h + _U(k) * step) % _U(8 * n_bytes) for k in range(cls.HASHES)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, ids: DataFrame, n_bytes: int) -> np.ndarray:
+        """From a column of longs. Tasks send places by chunk; chunks are joined by tasks too."""
+
+        def scatter(batches):
+            for b in batches:
+                at = cls.places(b.column(0).to_numpy(), n_bytes) if len(b) else np.zeros(0, np.int64)
+                if len(at):
+                    chunk, (bits,) = _bytes_rows(at // (8 * cls.CHUNK), (at % (8 * cls.CHUNK)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([chunk, bits], ["chunk", "bits"])
+
+        def gather(batches):
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for c, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    held.setdefault(c, np.zeros(8 * cls.CHUNK, bool))[np.frombuffer(bits.as_py(), np.int32)] = True
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["chunk", "bits"])
+
+        out = np.zeros(n_bytes, np.uint8)
+        parts = max(1, n_bytes // cls.CHUNK // 16)
+        for c, bits in ids.mapInArrow(scatter, "chunk int, bits binary").repartition(parts, "chunk").mapInArrow(gather, "chunk int, bits binary").collect():
+            out[c * cls.CHUNK : (c + 1) * cls.CHUNK] = np.frombuffer(bits, np.uint8)
+        return out
+
+    @classmethod
+    def has(cls, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = cls.places(ids, len(table)).reshape(cls.HASHES, -1)
+        return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents whose id is among ``ids`` (column ``_id``, null among them)."""
+    table = _Filter.of(ids.where("_id is not null"), FILTER_BYTES)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                own = b.column(0)
+                maybe = _Filter.has(shared.value, own.fill_null(0).to_numpy()) | own.is_null().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(maybe))
+
+    likely = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    return likely.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def _pack_sets(sets: DataFrame, low: int, fragments: int) -> DataFrame:
     def run(batches):
         packer = _Packer(low, 256, fragments)
@@ -401,8 +462,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     none = (members, members.select(F.col("cls").alias("x"), F.col("cls").alias("y")).limit(0))
     if not row_count(left):
         return none
-    asked = left.select(F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("_rep")).distinct()
-    sets = materialise(_sets(docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")))
+    asked = left.select(F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("_id")).distinct()
+    sets = materialise(_sets(_texts_of(docs, asked)))
     fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0)
     late = _count_shared(_pack_sets(sets, HEAD, fragments), fragments).groupBy("cls").agg(F.sum("shared").alias("late"))
     sizes = sets.groupBy("cls").agg(F.max("n").alias("n"))
