@@ -46,6 +46,8 @@ SLICE = 4_000_000
 PARTS = 8
 SKETCH_BITS = 1024
 BLOCK = 1500
+#: Buckets of at most so many members are compared without sketches, in a join's condition.
+SMALL = 48
 FILTER_BYTES = 4 << 20
 
 _codes = np.arange(256)
@@ -495,12 +497,18 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     lean = materialise(lean.withColumn("root", F.coalesce("root", "cls")))
     places = lean.select(F.explode("prefix").alias("gram"), "cls", "root")
     apart = places.groupBy("gram").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("m")).where("r != s")
-    apart = apart.select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    seats = places.join(apart, "gram").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    apart = apart.select("gram", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    # small buckets: pairs met in the join's own condition; others go block by block
+    facts = lean.select("cls", "n", "alone", "root", "sketch")
+    seats = places.select("gram", "cls").join(apart, "gram")
+    small = seats.where(F.col("m") <= SMALL).select("gram", "cls").join(facts.drop("sketch"), "cls")
+    other = small.select("gram", F.col("cls").alias("y"), F.col("n").alias("pn"), F.col("alone").alias("palone"), F.col("root").alias("proot"))
+    near = small.join(other, "gram").where((F.col("cls") > F.col("y")) & (F.col("root") != F.col("proot")) & _reach(percent))
+    few = near.select(F.col("cls").alias("x"), "y").distinct()
+    seats = seats.where(F.col("m") > SMALL).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     seats = seats.select("gram", "cls", "own", F.explode(others).alias("b")).select("gram", "cls", "b.i", "b.j", F.when(F.col("own") == F.col("b.i"), 0).otherwise(1).alias("side"))
-    seats = seats.join(lean.drop("prefix"), "cls")
-    more = seats.groupBy("gram", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, percent), "x long, y long")
+    more = seats.join(facts, "cls").groupBy("gram", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, percent), "x long, y long").unionByName(few)
     more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     known = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     rest = materialise(_verify(materialise(more.join(known, ["x", "y"], "left_anti")), parts, percent))
