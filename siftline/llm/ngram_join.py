@@ -41,8 +41,8 @@ PERCENT = 80
 #: Share of the order looked at in the first pass, of 256.
 HEAD = 77
 #: N-grams of one fragment (about), rows that a slice holds, and fragments of the exact count.
-FRAGMENT_NGRAMS = 1_000_000
-SLICE = 4_000_000
+FRAGMENT_NGRAMS = 500_000
+SLICE = 1_000_000
 PARTS = 8
 SKETCH_BITS = 1024
 BLOCK = 1500

@@ -126,7 +126,8 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         at, level = self.steps
-        return np.clip(np.interp(self.raw(x), at, level), 0, 1)
+        parts = [np.interp(self.raw(x[i : i + 1000]), at, level) for i in range(0, len(x), 1000)]
+        return np.clip(np.concatenate(parts), 0, 1) if parts else np.zeros(0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
