@@ -47,6 +47,18 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
+#: Rows of an Arrow batch, where texts go to Python: Spark's 10,000 hold tens of MB of texts on both sides.
+TEXT_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches were bounded to TEXT_ROWS rows, unless smaller already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def row_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import PLACE, gram_hashes, materialise, mix, row_count, span_hashes, spans_of, text_chunks
+from siftline.llm.common import PLACE, gram_hashes, materialise, mix, row_count, small_batches, span_hashes, spans_of, text_chunks
 from siftline.llm.components import components
 
 WORDS = 5
@@ -169,7 +169,7 @@ def _scan(docs: DataFrame, fragments: int) -> DataFrame:
                     yield from packed()
         yield from packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PACKED)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, _PACKED)
 
 
 class _Shared:
@@ -321,7 +321,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     [pa.array(_long(_class_ids(h, bounds))), pa.array(np.diff(bounds).astype(np.int32)), lists, pa.array([x.tobytes() for x in bits], pa.binary())], ["cls", "n", "grams", "sketch"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SETS)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, _SETS)
 
 
 class _Filter:
@@ -380,7 +380,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 maybe = _Filter.has(shared.value, own.fill_null(0).to_numpy()) | own.is_null().to_numpy(zero_copy_only=False)
                 yield b.filter(pa.array(maybe))
 
-    likely = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    likely = small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, text string")
     return likely.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
@@ -404,7 +404,7 @@ def _pack_sets(sets: DataFrame, low: int, fragments: int) -> DataFrame:
                 yield from packed()
         yield from packed()
 
-    return sets.select("cls", "grams").mapInArrow(run, _PACKED)
+    return small_batches(sets.select("cls", "grams")).mapInArrow(run, _PACKED)
 
 
 def _fragments(n_grams: float) -> int:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, span_hashes, spans_of, text_chunks
+from siftline.llm.common import materialise, small_batches, span_hashes, spans_of, text_chunks
 
 SAMPLE = 20_000
 FEATURES = 384
@@ -169,7 +169,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
                 [b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["fold", "label", "x"]
             )
 
-    return rows.mapInArrow(run, "fold long, label double, x array<double>")
+    return small_batches(rows).mapInArrow(run, "fold long, label double, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = shared.value.score(statistics(b.column(1))) if len(b) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", (F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0)) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -240,4 +240,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             if len(b):
                 yield b.filter(pa.array(shared.value.score(statistics(b.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

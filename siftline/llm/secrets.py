@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siftline.llm.common import small_batches
+
 THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 40, 9, 3
 MARK = "[SECRET]"
@@ -248,7 +250,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
             n = pa.array([len(candidates(t)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)], ["doc_id", "n_candidates", "n_secrets", "spans"])
 
-    return docs.select("doc_id", "text", "source").mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, spans array<struct<begin:int,end:int,score:double>>")
+    return small_batches(docs.select("doc_id", "text", "source")).mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, spans array<struct<begin:int,end:int,score:double>>")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -276,5 +278,5 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
                     columns[size] = pa.array([len(changed[i]) if i in changed else v for i, v in enumerate(b.column(size).to_pylist())], b.column(size).type)
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    out = docs.mapInArrow(run, ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)))
+    out = small_batches(docs).mapInArrow(run, ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)))
     return out.toDF(*docs.columns)

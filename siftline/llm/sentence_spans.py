@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, mix, power_tables, span_hashes, spans_of, text_chunks
+from siftline.llm.common import materialise, mix, power_tables, small_batches, span_hashes, spans_of, text_chunks
 
 RUN = 2
 LEAST_WORDS = 12
@@ -80,7 +80,7 @@ def spans(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST_WORDS
                             ["hash", "doc_id", "place", "length"],
                         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, place int, length int")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "hash long, doc_id long, place int, length int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -125,4 +125,4 @@ def deduplicate(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST
                     ["doc_id", "n_sentences", "n_removed", "removed", "text"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed array<struct<begin:int,end:int>>, text string")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed array<struct<begin:int,end:int>>, text string")

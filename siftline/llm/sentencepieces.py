@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siftline.llm.common import small_batches
+
 MARK = "▁".encode()  # what stands for a space in pieces
 BATCH_CHARS = 1 << 20
 
@@ -205,7 +207,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "begins", "ends"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, begins array<int>, ends array<int>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, begins array<int>, ends array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -234,4 +236,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")

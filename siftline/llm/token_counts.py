@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from siftline.llm.common import span_hashes, text_buffer, text_chunks
+from siftline.llm.common import small_batches, span_hashes, text_buffer, text_chunks
 
 #: The splitting pattern of byte-level BPE. Fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", r"\p{White_Space}").replace(
@@ -274,7 +274,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
@@ -288,4 +288,4 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, counts array<long>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, counts array<long>")
