@@ -304,26 +304,6 @@ def _spare(percent: int) -> Column:
 _SETS = "cls long, n int, grams array<long>, sketch binary"
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """cls, n, the set's hashes and its parity sketch: for each of SKETCH_BITS, whether an odd number
-    of members falls there. Two sketches differ in no more places than the sets do."""
-
-    def run(batches):
-        for b in batches:
-            for i, j, buf, offsets in text_chunks(b.column(1)):
-                rows, h = shingles(buf, offsets)
-                n_rows = j - i
-                bounds = _bounds(rows, n_rows)
-                odd = np.bincount(rows * SKETCH_BITS + (h % _U(SKETCH_BITS)).astype(np.int64), minlength=n_rows * SKETCH_BITS) & 1
-                bits = np.packbits(odd.astype(np.uint8).reshape(n_rows, SKETCH_BITS), axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_long(h)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_long(_class_ids(h, bounds))), pa.array(np.diff(bounds).astype(np.int32)), lists, pa.array([x.tobytes() for x in bits], pa.binary())], ["cls", "n", "grams", "sketch"]
-                )
-
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, _SETS)
-
-
 class _Filter:
     """A Bloom filter of FILTER_BYTES, whatever the number of ids: the proven bound of what is sent
     to executors. It only keeps texts from a shuffle; an exact join follows."""
@@ -368,20 +348,35 @@ class _Filter:
         return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents whose id is among ``ids`` (column ``_id``, null among them)."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of the documents whose id is among ``ids`` (column ``_id``, null among them): cls, n, the set's
+    hashes and its parity sketch: for each of SKETCH_BITS, whether an odd number of members falls
+    there. Two sketches differ in no more places than the sets do.
+
+    Filter and sets are one Python step: two in one task would be two workers for each core."""
     table = _Filter.of(ids.where("_id is not null"), FILTER_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         for b in batches:
-            if len(b):
-                own = b.column(0)
-                maybe = _Filter.has(shared.value, own.fill_null(0).to_numpy()) | own.is_null().to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array(maybe))
+            if not len(b):
+                continue
+            maybe = _Filter.has(shared.value, b.column(0).fill_null(0).to_numpy()) | b.column(0).is_null().to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(maybe))
+            for i, j, buf, offsets in text_chunks(b.column(1)):
+                rows, h = shingles(buf, offsets)
+                n_rows = j - i
+                bounds = _bounds(rows, n_rows)
+                odd = np.bincount(rows * SKETCH_BITS + (h % _U(SKETCH_BITS)).astype(np.int64), minlength=n_rows * SKETCH_BITS) & 1
+                bits = np.packbits(odd.astype(np.uint8).reshape(n_rows, SKETCH_BITS), axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_long(h)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[i:j], pa.array(_long(_class_ids(h, bounds))), pa.array(np.diff(bounds).astype(np.int32)), lists, pa.array([x.tobytes() for x in bits], pa.binary())],
+                    ["doc_id", "cls", "n", "grams", "sketch"],
+                )
 
-    likely = small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, text string")
-    return likely.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    likely = small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id long, {_SETS}")
+    return likely.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("doc_id")
 
 
 def _pack_sets(sets: DataFrame, low: int, fragments: int) -> DataFrame:
@@ -465,7 +460,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     if not row_count(left):
         return none
     asked = left.select(F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("_id")).distinct()
-    sets = materialise(_sets(_texts_of(docs, asked)))
+    sets = materialise(_sets(docs, asked))
     fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0)
     late = _count_shared(_pack_sets(sets, HEAD, fragments), fragments).groupBy("cls").agg(F.sum("shared").alias("late"))
     sizes = sets.groupBy("cls").agg(F.max("n").alias("n"))
