@@ -5,8 +5,9 @@ the tree best bin first: a priority queue holds unvisited branches by distance a
 the order of their promise. How many leaves a query visits is widened until queries whose true
 neighbours are known (by brute force over all rows, in blocks) find the wanted share of them.
 
-Rows of a leaf, and queries that visit it, are dealt into blocks of bounded size, so a vector shared
-by any part of the rows makes more blocks, not a larger task. Scores are double-precision cosines of
+Neighbouring leaves form a bundle. Its rows, and queries that visit any of its leaves, are dealt into
+blocks of bounded size, so a vector shared by any part of the rows makes more blocks, not a larger
+task; a query's finds are cut to k in each block before they are shuffled. Scores are double-precision cosines of
 the original vectors. Equal vectors tie and go by id; a block keeps the k+1 smallest ids of equal
 vectors, which cannot lose a neighbour.
 
@@ -34,6 +35,8 @@ MAX_LEAVES = 4096
 CALIBRATION = 160
 RECALL = 0.95
 BLOCK = 4096
+#: Leaves that follow each other in the tree are searched together, in so many bundles at most.
+BUNDLES = 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -131,6 +134,11 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+    return found.groupby("query_id", sort=False).head(k)
+
+
 def block_top(q_ids, q, v_ids, x, k: int) -> pd.DataFrame:
     """The k nearest rows of a block for every query of a block, own ids left out."""
     order = np.argsort(v_ids, kind="stable")
@@ -148,8 +156,7 @@ def block_top(q_ids, q, v_ids, x, k: int) -> pd.DataFrame:
     floor = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(q), -np.inf)
     i, j = np.nonzero((near >= floor[:, None] - 1e-9) & np.isfinite(near))
     out = pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[j], "score": _scores(q[i], x[j])})
-    out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
-    return out.groupby("query_id", sort=False).head(k)
+    return _first(out, k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -222,30 +229,46 @@ class Index:
             return self.rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         shared, visits, k = self.shared, self.visits, self.k
 
+        per = max(1, -(-self.tree.n_leaves // BUNDLES))
+
         def bins(batches):
             for b in batches:
                 if len(b):
                     ids, x = b.column(0), _unit(_matrix(b.column(1)))
-                    found = [shared.value.best_bins(q, visits) for q in x]
-                    rows = np.repeat(np.arange(len(x)), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(np.concatenate(found).astype(np.int32))], ["query_id", "q", "leaf"])
-
-        asked = materialise(self.queries.select("vec_id", "vec").mapInArrow(bins, "query_id long, q array<double>, leaf int"))
-        # one row per leaf, MAX_LEAVES and a few more at most: how many blocks each side is cut into
-        cut = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
-        blocks = F.broadcast(materialise(cut(self.rows, "nv").join(cut(asked, "nq"), "leaf")))
+                    rows, bundles, leaves = [], [], []
+                    for i, q in enumerate(x):
+                        found = np.sort(np.array(shared.value.best_bins(q, visits), np.int32))
+                        kinds, first = np.unique(found // per, return_index=True)
+                        rows += [i] * len(kinds)
+                        bundles.append(kinds)
+                        leaves += np.split(found, first[1:])
+                    columns = [ids.take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(np.concatenate(bundles).astype(np.int32)), pa.array(leaves, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "bundle", "leaves"])
+
+        asked = materialise(self.queries.select("vec_id", "vec").mapInArrow(bins, "query_id long, q array<double>, bundle int, leaves array<int>"))
+        held = self.rows.withColumn("bundle", F.floor(F.col("leaf") / F.lit(per)).cast("int"))
+        # one row per bundle, BUNDLES at most: how many blocks each side is cut into
+        cut = lambda df, name: df.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+        blocks = F.broadcast(materialise(cut(held, "nv").join(cut(asked, "nq"), "bundle")))
         salt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = asked.join(blocks, "leaf").withColumn("bq", salt("query_id", "nq")).withColumn("bv", spread("nv"))
-        right = self.rows.join(blocks, "leaf").withColumn("bv", salt("vec_id", "nv")).withColumn("bq", spread("nq"))
+        left = asked.join(blocks, "bundle").withColumn("bq", salt("query_id", "nq")).withColumn("bv", spread("nv"))
+        right = held.join(blocks, "bundle").withColumn("bv", salt("vec_id", "nv")).withColumn("bq", spread("nq"))
 
         def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-            return block_top(a.query_id.to_numpy(), np.stack(a.q.to_numpy()), b.vec_id.to_numpy(), np.stack(b.vec.to_numpy()), k)
-
-        key = ["leaf", "bq", "bv"]
-        found = left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "vec").groupBy(*key)).applyInPandas(match, "query_id long, vec_id long, score double")
+            """Leaf by leaf, the queries that visit it; k finds of each query leave the block."""
+            found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+            if len(a) and len(b):
+                asks, visited = np.repeat(np.arange(len(a)), a.leaves.map(len)), np.concatenate(a.leaves.to_numpy())
+                q_ids, q, v_ids, x, own = a.query_id.to_numpy(), np.stack(a.q.to_numpy()), b.vec_id.to_numpy(), np.stack(b.vec.to_numpy()), b.leaf.to_numpy()
+                for leaf in np.unique(own):
+                    ask, rows = asks[visited == leaf], own == leaf
+                    if len(ask):
+                        found.append(block_top(q_ids[ask], q[ask], v_ids[rows], x[rows], k))
+            return _first(pd.concat(found[1:] or found), k)
+
+        key = ["bundle", "bq", "bv"]
+        found = left.select(*key, "query_id", "q", "leaves").groupBy(*key).cogroup(right.select(*key, "vec_id", "vec", "leaf").groupBy(*key)).applyInPandas(match, "query_id long, vec_id long, score double")
         return _best(found, k)
 
 
