@@ -8,7 +8,8 @@ lost. What decides a span is inside it, so a passage has the same spans wherever
 
 A sentence ends at a line break, or at white space after a word with a stop behind its last letter.
 ASCII case is ignored. Counting before joining keeps a span that any part of the rows shares to one
-partial count per task; only spans met twice are joined back, and Spark splits a skewed one.
+partial count per task; only spans met twice are joined back, the common ones by broadcast so that
+their rows stay where they are.
 
 Defined cases: null and empty texts have no sentences and stay as they are; a null id counts as the
 largest; rows that share an id are treated alike; within a text only whole sentences go, with the
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, mix, power_tables, small_batches, span_hashes, spans_of, text_chunks
+from siftline.llm.common import materialise, mix, power_tables, row_count, small_batches, span_hashes, spans_of, text_chunks
 
 RUN = 2
 LEAST_WORDS = 12
 LONE_WORDS = 30
+#: A span that more than one in ``COMMON`` rows hold is joined by broadcast. There are fewer than
+#: ``COMMON`` such spans however large the table, which bounds what is broadcast.
+COMMON = 2000
 
 _codes = np.arange(256)
 _BLANK = np.isin(_codes, [32, 9, 10, 11, 12, 13])
@@ -86,8 +90,11 @@ def spans(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST_WORDS
 def repeats(found: DataFrame) -> DataFrame:
     """doc_id and ``covered``: the sentences under spans that aren't the first of their kind."""
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "place")
-    first = found.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
-    later = found.join(first, "hash").where(order != F.col("first"))
+    first = materialise(found.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    common = F.col("n") > row_count(found) / COMMON
+    few, rest = F.broadcast(first.where(common).drop("n")), first.where(~common).drop("n")
+    met = found.join(few, "hash").unionByName(found.join(few.select("hash"), "hash", "left_anti").join(rest, "hash"))
+    later = met.where(order != F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "length")).alias("covered"))
 
 
