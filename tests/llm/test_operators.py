@@ -353,6 +353,13 @@ def test_sentence_spans(spark, edge, nothing):
     out = rows(sentence_spans.deduplicate(edge))
     assert len(out) == len(CASES) and rows(sentence_spans.deduplicate(nothing)) == []
 
+def test_common_spans_are_joined_alike(spark, docs, monkeypatch):
+    want = sorted((x["doc_id"], x["n_removed"], x["text"] or "") for x in rows(sentence_spans.deduplicate(docs)))
+    for common in (1, 10**9):  # none or all spans count as common
+        monkeypatch.setattr(sentence_spans, "COMMON", common)
+        assert sorted((x["doc_id"], x["n_removed"], x["text"] or "") for x in rows(sentence_spans.deduplicate(docs))) == want
+    assert any(n for _, n, _ in want)
+
 
 # --- all
 
