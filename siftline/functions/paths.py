@@ -88,12 +88,32 @@ def in_globs(path: Column, globs: list[str], ignore_case: bool = False) -> Colum
     return verdict
 
 
-def of_types(path: Column, names: list[str]) -> Column:
+def registry(add: tuple[str, ...] = (), clear: tuple[str, ...] = ()) -> dict[str, tuple[str, ...]]:
+    """The known types without those in ``clear`` and with ``name:glob`` or ``name:include:a,b``
+    additions, the latter taking over other types' globs."""
+    out = {k: v for k, v in TYPES.items() if k not in clear}
+    for rule in add:
+        name, _, glob = rule.partition(":")
+        if not re.fullmatch(r"\w+", name) or name == "all" or not glob:
+            raise ValueError(f"not a type definition: {rule!r}")
+        if glob.startswith("include:"):
+            others = glob.removeprefix("include:").split(",")
+            if any(o not in out for o in others):
+                raise ValueError(f"unknown type in {rule!r}")
+            new = tuple(g for o in others for g in out[o])
+        else:
+            new = (glob,)
+        out[name] = out.get(name, ()) + new
+    return out
+
+
+def of_types(path: Column, names: list[str], known: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Whether any of the types has the path; ``all`` stands for every known type."""
-    unknown = [n for n in names if n not in TYPES and n not in ("all", "docs")]
+    known = TYPES if known is None else known
+    unknown = [n for n in names if n not in known and n not in ("all", "docs")]
     if unknown:
         raise ValueError(f"unknown type {unknown[0]!r}")
-    globs = [g for n in names for g in (sum(TYPES.values(), ()) if n == "all" else TYPES.get(n, ()))]
+    globs = [g for n in names for g in (sum(known.values(), ()) if n == "all" else known.get(n, ()))]
     test = F.rlike(path, F.lit("|".join(glob_regex(g) for g in globs))) if globs else F.lit(False)
     return test | (genus(path) == "docs") if "docs" in names else test
 
@@ -115,12 +135,35 @@ def parse_size(text: str) -> int:
     return int(m[1]) << {"": 0, "K": 10, "M": 20, "G": 30}[m[2].upper()]
 
 
-def ignored(path: Column, rules: list[str]) -> Column:
-    """Ignore-file rules in order; a later ``!`` rule takes back, but not below an ignored folder."""
+def ancestors(path: Column) -> Column:
+    """The folders above a path, outermost first."""
+    parts = F.split(path, "/")
+    up = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/"))
+    return F.transform(F.array(parts), lambda p: F.when(F.size(p) > 1, up(p)).otherwise(F.array().cast("array<string>")))[0]
+
+
+def _verdict(entry: Column, rules: list[tuple[str, str]], folder: bool) -> Column:
+    """What the last rule that fits says of one file or folder."""
     verdict = F.lit(False)
-    for rule in (r.rstrip() for r in rules):
-        if not rule or rule.startswith("#"):
+    for base, rule in rules:
+        glob = rule.removeprefix("!")
+        if glob.endswith("/") and not folder:
             continue
-        hit = F.rlike(path, F.lit(glob_regex(rule.removeprefix("!").rstrip("/")) if not rule.endswith("/") else glob_regex(rule.removeprefix("!").rstrip("/")).replace("(?:/.*)?$", "/.*$")))
-        verdict = F.when(hit, not rule.startswith("!")).otherwise(verdict)
+        regex = glob_regex(glob.rstrip("/")).removesuffix("(?:/.*)?$") + "$"
+        if base:
+            below = "^\\Q" + base + "/\\E"
+            regex = below + regex.removeprefix("^") if regex.startswith("^") else below + "(?:.*/)?" + regex.removeprefix("(?:^|/)")
+        verdict = F.when(F.rlike(entry, F.lit(regex)), not rule.startswith("!")).otherwise(verdict)
     return verdict
+
+
+def ignored(path: Column, rules: list[str] | dict[str, list[str]]) -> Column:
+    """Ignore-file rules: those of the root in a list, or lists by the folder they are about (""
+    is the root), where a deeper folder's rules outrank a higher one's. A later ``!`` rule takes
+    back, but nothing comes back that is below an ignored folder."""
+    by_folder = rules if isinstance(rules, dict) else {"": rules}
+    ordered = [(f.strip("/"), r.rstrip()) for f in sorted(by_folder, key=lambda f: (len([x for x in f.split("/") if x]), f)) for r in by_folder[f]]
+    ordered = [(f, r) for f, r in ordered if r and not r.startswith("#")]
+    if not ordered:
+        return F.lit(False)
+    return F.exists(ancestors(path), lambda a: _verdict(a, ordered, True)) | _verdict(path, ordered, False)

@@ -38,6 +38,7 @@ class Options:
     dotall: bool = False
     crlf: bool = False
     engine: str = "auto"  # linear, backtracking, auto
+    null_data: bool = False
 
 
 @dataclass(frozen=True)

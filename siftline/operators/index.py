@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,6 @@ def overlay(base: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
     return base.join(off, "doc_id", "left_anti").unionByName(changed)
 
 
-
 def build(docs: DataFrame, path: str) -> None:
     """Write a new generation and then point the manifest to it: readers see the old or the new."""
     anchor = time.time_ns()
@@ -123,3 +124,39 @@ def amend(docs: DataFrame, path: str) -> str:
     docs.select("doc_id", "path", F.xxhash64("body").alias("digest")).write.parquet(f"{generation}/docs")
     _publish(spark, path, {"generation": generation, "anchor_unix_ns": anchor, "schema_version": 1})
     return "amended"
+
+
+def search_fresh(docs: DataFrame, path: str, p: Pattern) -> DataFrame:
+    """Matching lines by a stored index that may be behind: what changed since it was built is
+    searched without it, so the answer is always that of the documents as they are."""
+    chosen = candidates(load(docs.sparkSession, path), p)
+    if chosen is None:
+        return matching_lines(docs, p)
+    changed, _ = drift(docs, path)
+    unindexed = changed.select("doc_id")
+    return matching_lines(docs.join(chosen.unionByName(unindexed).distinct(), "doc_id", "left_semi"), p)
+
+
+def staleness(docs: DataFrame, path: str) -> DataFrame:
+    """One row: files indexed, stale (changed, new or gone) files, when the index was built."""
+    changed, gone = drift(docs, path)
+    m = manifest(docs.sparkSession, path)
+    known = docs.sparkSession.read.parquet(m["generation"] + "/docs").agg(F.count(F.lit(1)).alias("files_indexed"))
+    stale = changed.select("doc_id").unionByName(gone).agg(F.count(F.lit(1)).alias("stale_files"))
+    return known.join(F.broadcast(stale)).withColumn("built_unix_ns", F.lit(m["anchor_unix_ns"]))  # one row each
+
+
+def kept(docs: DataFrame, path: str, p: Pattern) -> DataFrame:
+    """Matching lines, kept as a table beside the index and read again while the index is current.
+    A stale index keeps nothing."""
+    spark, m = docs.sparkSession, manifest(docs.sparkSession, path)
+    changed, gone = drift(docs, path)
+    if not (changed.isEmpty() and gone.isEmpty()):
+        return search_fresh(docs, path, p)
+    key = hashlib.sha1(repr((p.regex, p.options, m["anchor_unix_ns"])).encode()).hexdigest()
+    place = f"{path}/kept/{key}"
+    try:
+        return spark.read.parquet(place)
+    except AnalysisException:  # not kept yet
+        search_fresh(docs, path, p).write.mode("overwrite").parquet(place)
+        return spark.read.parquet(place)

@@ -103,6 +103,17 @@ register("search_stats", f"""WITH {L}, s AS (SELECT path, count(*) AS k, sum(len
     SELECT (SELECT count(*) FROM d) AS files, count(*) AS files_matched, CAST(coalesce(sum(k), 0) AS BIGINT) AS lines_matched, CAST(coalesce(sum(n), 0) AS BIGINT) AS matches, (SELECT CAST(sum(strlen(body)) AS BIGINT) FROM d) AS bytes FROM s""", lambda d: search.stats(d, TOKEN()))
 register("line_offsets", f"""WITH {L} SELECT path, line_number, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM l""", lambda d: lines.line_offsets(d).select("path", "line_number", "byte_offset"))
 
+register("context_invert", CONTEXT.replace(f"{HAS} AS hit", "NOT contains(line, 'e') AS hit"), lambda d: search.with_context(d, pat("e", fixed=True), before=1, after=2, invert=True))
+register("context_max_count", CONTEXT.replace(f"{HAS} AS hit", f"{IS_THE} AND sum(CASE WHEN {IS_THE} THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_number) <= 1 AS hit"), lambda d: search.with_context(d, pat("the", word=True), before=1, after=2, max_count=1))
+register("files_invert", f"WITH {L} SELECT DISTINCT path FROM l WHERE NOT {IS_THE}", lambda d: SearchRequest("the", word=True, unicode=False, invert=True).files(d))
+register("count_lines_max_count", f"WITH {L} SELECT path, least(count(*), 2) AS n FROM l WHERE {IS_THE} GROUP BY 1", lambda d: search.count_lines(d, pat("the", word=True), max_count=2))
+register("null_data_records", f"WITH {D} SELECT path, CAST(1 AS BIGINT) AS line_number, body AS line FROM d WHERE contains(body, 'token')", lambda d: SearchRequest("token", fixed=True, null_data=True).lines(d))
+register("only_matching_replace", f"""WITH {L}, m AS (SELECT path, line_number, unnest(regexp_extract_all(line, '[0-9a-f]{{12,}}')) AS text FROM l)
+    SELECT path, line_number, '<' || substr(text, 1, 4) || '>' AS text FROM m""", lambda d: search.only_matching(d, pat("([0-9a-f]{4})[0-9a-f]{8,}"), "<$1>").select("path", "line_number", "text"))
+register("json_stream", f"""WITH {L}, h AS (SELECT * FROM l WHERE {HAS}), e AS (SELECT path, max(line_number) AS last FROM h GROUP BY 1)
+    SELECT path, line_number AS seq, 'match' AS kind FROM h UNION ALL SELECT path, 0, 'begin' FROM e UNION ALL SELECT path, last + 1, 'end' FROM e UNION ALL SELECT NULL, 0, 'summary'""", lambda d: search.json_stream(d, TOKEN()).select("path", "seq", "kind"))
+register("formatted_context", f"{CONTEXT.replace('SELECT path, line_number, line, CASE', 'SELECT path, line_number, line, CASE', 1).rsplit('SELECT path', 1)[0]} SELECT path || CASE WHEN hit THEN ':' ELSE '-' END || line_number || CASE WHEN hit THEN ':' ELSE '-' END || line AS value FROM k", lambda d: search.formatted(search.with_context(d, TOKEN(), before=1, after=2)))
+
 DIR, EXT = r"regexp_extract(path, '^(.*)/[^/]*$', 1)", r"regexp_extract(path, '(\.[^./]*)$', 1)"
 for by, key in (("file", "path"), ("dir", DIR), ("ext", EXT)):
     register(f"tally_{by}", f'WITH {L} SELECT {key} AS key, count(*) AS "count", count(DISTINCT path) AS files FROM l WHERE {IS_THE} GROUP BY 1', lambda d, by=by: aggregate.summary(d, pat("the", word=True), by))
@@ -122,6 +133,8 @@ register("glob_scope", f"WITH {L} SELECT path, line_number, line FROM l WHERE re
 register("path_scope", f"WITH {L} SELECT path, line_number, line FROM l WHERE starts_with(path, 'src0/') AND {HAS}", lambda d: SearchRequest("token", fixed=True, paths=("./src0/",)).lines(d))
 register("depth_scope", f"WITH {D} SELECT path FROM d WHERE len(string_split(path, '/')) <= 2 AND strlen(body) <= 2048", lambda d: SearchRequest("x", max_depth=2, max_size=paths.parse_size("2K")).scope(d).select("path"))
 register("ignore_rules", f"WITH {D} SELECT path FROM d WHERE NOT (starts_with(path, 'src0/') OR (ends_with(path, '.es') AND NOT starts_with(path, 'src7/')))", lambda d: SearchRequest("x", ignore_rules=("*.es", "!/src7/*.es", "src0/")).scope(d).select("path"))
+register("ignore_hierarchy", f"WITH {D} SELECT path FROM d WHERE NOT (starts_with(path, 'src1/') OR (ends_with(path, '.es') AND NOT starts_with(path, 'src7/')) OR regexp_matches(path, '^src7/1[^/]*[.]de$'))", lambda d: SearchRequest("x", ignore_rules=("*.es", "src1/"), ignore_tree=(("src7", ("!*.es", "/1*.de")), ("src1", ("!*",)))).listing(d))
+register("type_registry", f"WITH {L} SELECT path, line_number, line FROM l WHERE (ends_with(path, '.fr') OR ends_with(path, '.de')) AND {HAS}", lambda d: SearchRequest("token", fixed=True, types=("prose",), type_add=("prose:include:fr", "prose:*.de")).lines(d))
 register("list_files", f"WITH {D} SELECT path FROM d", lambda d: d.select("path"))
 register("sort_path_component", f"WITH {D} SELECT path FROM d ORDER BY string_split(path, '/') LIMIT 100", lambda d: d.select("path").orderBy(paths.by_component(F.col("path"))).limit(100))
 

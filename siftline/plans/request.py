@@ -42,8 +42,21 @@ class SearchRequest:
     ignore_rules: tuple[str, ...] = ()
     max_depth: int | None = None
     max_size: int | None = None
+    quiet: bool = False
+    no_ignore: bool = False
+    ignore_tree: tuple[tuple[str, tuple[str, ...]], ...] = ()  # folders and the rules of their ignore files
+    type_add: tuple[str, ...] = ()
+    type_clear: tuple[str, ...] = ()
+    crlf: bool = False
+    null_data: bool = False
+    skip_binary: bool = False
+    sort: str | None = None
+    reverse: bool = False
+    max_results: int | None = None
 
     def __post_init__(self) -> None:
+        if self.null_data and (self.multiline or self.multiline_dotall):
+            raise ValueError("null_data frames records, multiline searches whole texts")
         if not self.pattern or (not isinstance(self.pattern, str) and not all(self.pattern)):
             raise ValueError("empty pattern")
 
@@ -62,7 +75,7 @@ class SearchRequest:
 
     def compiled(self) -> Pattern:
         multi = self.multiline or self.multiline_dotall
-        options = Options(self.fixed, self.ignore_case, self.smart_case, self.word, self.line, self.unicode, multi, self.multiline_dotall, engine=self.engine)
+        options = Options(self.fixed, self.ignore_case, self.smart_case, self.word, self.line, self.unicode, multi, self.multiline_dotall, self.crlf, self.engine, self.null_data)
         return compile_pattern(self.pattern if isinstance(self.pattern, str) else list(self.pattern), options)
 
     def scope(self, docs: DataFrame) -> DataFrame:
@@ -79,12 +92,15 @@ class SearchRequest:
             test = test & F.rlike(path, F.lit("|".join(f"^\\Q{p.removeprefix('./').rstrip('/')}\\E(?:/|$)" for p in self.paths)))
         if not self.hidden and not self.types:
             test = test & (chosen | ~paths.is_hidden(path))
-        if self.ignore_rules:
-            test = test & (chosen | ~paths.ignored(path, list(self.ignore_rules)))
+        if (self.ignore_rules or self.ignore_tree) and not self.no_ignore:
+            tree = {folder: list(rules) for folder, rules in self.ignore_tree}
+            tree[""] = tree.get("", []) + list(self.ignore_rules)  # rules given by hand outrank the root's files
+            test = test & (chosen | ~paths.ignored(path, tree))
+        known = paths.registry(self.type_add, self.type_clear)
         if self.types:
-            test = test & paths.of_types(path, list(self.types))
+            test = test & paths.of_types(path, list(self.types), known)
         if self.not_types:
-            test = test & ~paths.of_types(path, list(self.not_types))
+            test = test & ~paths.of_types(path, list(self.not_types), known)
         if self.genera:
             wanted = [g for g in self.genera if not g.startswith("no-")]
             vetoed = [g.removeprefix("no-") for g in self.genera if g.startswith("no-")]
@@ -94,33 +110,62 @@ class SearchRequest:
             test = test & (paths.depth(path) <= self.max_depth)
         if self.max_size is not None:
             test = test & (F.octet_length("body") <= self.max_size)
+        if self.skip_binary:
+            test = test & ~F.contains("body", F.lit("\0"))
         return docs.where(test)
 
+    def _around(self) -> tuple[int, int]:
+        return self.before or self.context, self.after or self.context
+
+    def _shown(self, rows: DataFrame) -> DataFrame:
+        """In the order and up to the number of rows that the request names."""
+        rows = rows if self.sort is None else search.in_order(rows, self.sort, self.reverse)
+        return rows if self.max_results is None else rows.limit(self.max_results)
+
     def lines(self, docs: DataFrame) -> DataFrame:
-        """path, line_number, line and, with context, kind and group_id."""
+        """path, line_number, line and, with context, kind and group_id; of a multiline search path,
+        text, first_line and last_line."""
         rows, p = self.scope(docs), self.compiled()
-        before, after = self.before or self.context, self.after or self.context
-        if before or after:
-            return search.with_context(rows, p, before, after)
+        before, after = self._around()
         if p.options.multiline:
-            return search.multiline_spans(rows, p)
-        return search.matching_lines(rows, p, self.invert, self.max_count)
+            if self.invert or before or after or self.max_count is not None:
+                raise ValueError("a multiline search has spans; no invert, context or max_count")
+            return self._shown(search.multiline_spans(rows, p))
+        if before or after:
+            return self._shown(search.with_context(rows, p, before, after, self.invert, self.max_count))
+        return self._shown(search.matching_lines(rows, p, self.invert, self.max_count))
 
     def records(self, docs: DataFrame) -> DataFrame:
-        return search.match_records(self.scope(docs), self.compiled())
+        return self._shown(search.match_records(self.scope(docs), self.compiled(), self.invert, self.max_count, *self._around()))
+
+    def json(self, docs: DataFrame) -> DataFrame:
+        before, after = self._around()
+        return search.json_stream(self.scope(docs), self.compiled(), before, after, self.invert, self.max_count)
+
+    def listing(self, docs: DataFrame) -> DataFrame:
+        """The paths in scope; the pattern takes no part."""
+        return self._shown(self.scope(docs).select("path"))
 
     def files(self, docs: DataFrame) -> DataFrame:
-        return search.files_with(self.scope(docs), self.compiled())
+        return self._shown(search.files_with(self.scope(docs), self.compiled(), self.invert))
+
+    def files_without(self, docs: DataFrame) -> DataFrame:
+        return self._shown(search.files_without(self.scope(docs), self.compiled(), self.invert))
 
     def count(self, docs: DataFrame) -> int:
-        rows = search.count_lines(self.scope(docs), self.compiled(), invert=self.invert)
+        rows = search.count_lines(self.scope(docs), self.compiled(), invert=self.invert, max_count=self.max_count)
         return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def count_matches(self, docs: DataFrame) -> int:
-        return search.count_matches(self.scope(docs), self.compiled()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = search.count_matches(self.scope(docs), self.compiled(), self.invert, self.max_count)
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def exists(self, docs: DataFrame) -> bool:
+        return self.max_count != 0 and search.exists(self.scope(docs), self.compiled(), self.invert)
 
     def absent(self, docs: DataFrame) -> bool:
-        return search.absent(self.scope(docs), self.compiled())
+        """True only where nothing was found; an error is not an answer and raises."""
+        return not self.exists(docs)
 
     def summary(self, docs: DataFrame, by="file", top: int = 0) -> DataFrame:
         return aggregate.summary(self.scope(docs), self.compiled(), by, top)
@@ -128,8 +173,15 @@ class SearchRequest:
     def ranked(self, docs: DataFrame, top: int = 20) -> DataFrame:
         if self.before or self.after or self.context:
             raise ValueError("ranked search has no context")
+        if self.engine == "backtracking":
+            raise ValueError("ranked search has the linear engine only")
         return rank.ranked(self.scope(docs), self.compiled(), top)
 
 
+def exit_code(request: SearchRequest, docs: DataFrame) -> int:
+    """0 if the request has a match, 1 if it has none. Errors raise."""
+    return 0 if request.exists(docs) else 1
+
+
 def capabilities() -> dict:
     return {"schema_version": 1, "options": sorted(f.name for f in fields(SearchRequest)), "axes": list(aggregate.AXES), "types": sorted(paths.TYPES), "genera": ["code", "data", "docs"]}

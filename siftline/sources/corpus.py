@@ -12,6 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions import paths
+
+#: Ignore files from the weakest to the strongest, and the most rules that a tree may hold: they
+#: become one expression on the driver.
+IGNORE_FILES, MOST_RULES = (".gitignore", ".ignore", ".rgignore"), 10_000
 DOC = "doc_id long, path string, body string"
 SPARK_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32"}
 
@@ -35,21 +40,39 @@ def from_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(i, p, b) for i, (p, b) in enumerate(sorted(texts.items()))], DOC)
 
 
-def files(spark: SparkSession, *roots: str, encoding: str = "utf-8", max_size: int | None = None, decompress: bool = False, binary: str = "skip") -> DataFrame:
+def files(spark: SparkSession, *roots: str, encoding: str = "utf-8", max_size: int | None = None, decompress: bool = False, binary: str = "skip", pre: Callable[[bytes], bytes] | None = None, pre_globs: tuple[str, ...] = ()) -> DataFrame:
     """The files under ``roots`` (default: the working folder). ``encoding`` auto looks at byte-order
-    marks. ``binary``: skip files with a NUL, or take them as text. A missing root raises."""
+    marks. ``binary``: skip files with a NUL, or take them as text. ``pre`` changes the bytes of the
+    files that ``pre_globs`` name (all, if none), which are then not unpacked. A missing root raises."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots) or ["."])
     if max_size is not None:
         raw = raw.where(F.col("length") <= max_size)
     raw = raw.select("path", "content", "modificationTime")
-    if decompress:
-        raw = transformed(raw, _unpacked)
+    if decompress or pre:
+        chosen = paths.in_globs(F.col("path"), list(pre_globs)) if pre_globs else F.lit(True)
+        named = transformed(raw.where(chosen), pre) if pre else raw.where(F.lit(False))
+        rest = raw.where(~chosen) if pre else raw
+        raw = (transformed(rest, _unpacked) if decompress else rest).unionByName(named)
     rows = raw.select("path", decoded("content", encoding).alias("body"), F.col("modificationTime").alias("modified"))
     if binary == "skip":
         rows = rows.where(F.instr("body", "\0") == 0)
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "body", "modified")
 
 
+def ignore_tree(docs: DataFrame) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Folders and their rules from the ignore files among the documents, for a request's
+    ``ignore_tree``. Raises beyond ``MOST_RULES`` rules."""
+    name = paths.basename(F.col("path"))
+    rules = docs.where(name.isin(*IGNORE_FILES)).select(paths.dirname(F.col("path")).alias("folder"), name.alias("name"), F.posexplode(F.split("body", r"\r?\n")).alias("at", "rule"))
+    found = rules.where("trim(rule) <> '' AND NOT startswith(rule, '#')").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} ignore rules")
+    tree: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r.folder, IGNORE_FILES.index(r.name), r["at"])):
+        tree.setdefault(r.folder, []).append(r.rule)
+    return tuple((k, tuple(v)) for k, v in tree.items())
+
+
 def decoded(column: str, encoding: str = "utf-8"):
     """A binary column as text. Charsets that Spark lacks go through an Arrow function."""
     name = encoding.lower()

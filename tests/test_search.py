@@ -1,5 +1,6 @@
 """Small trees with known answers, in the manner of the reference's binding tests."""
 
+import json
 import random
 import re
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.functions.patterns import Options, PatternError, UnsupportedPattern, compile_pattern, literals
 from siftline.operators import aggregate, index, search
-from siftline.plans.request import SearchRequest
+from siftline.plans import charter
+from siftline.plans.cursor import Cursor, push
+from siftline.plans.request import SearchRequest, exit_code
 from siftline.sources import corpus
 
 TREE = {
@@ -178,3 +181,105 @@ def test_continuous(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("hits").collect()] == [("s/1.en", 1, "a needle")]
+
+
+def test_requests_heed_every_option(spark):
+    docs = corpus.from_texts(spark, {"a.txt": "hit one\nno\nhit two\nno\nno\nhit\r\n", "b.txt": "hit\n", "z\x00": "hit\0hit\nx\0no\0"})
+    rows = lambda r, *c: sorted(tuple(x[k] for k in c) for x in r.collect())
+    only_a = {"globs": ("a.txt",)}
+    assert rows(SearchRequest("hit", invert=True, **only_a).records(docs), "line_number", "submatches") == [(2, []), (4, []), (5, [])]
+    assert rows(SearchRequest("hit", invert=True, after=1, max_count=1, **only_a).lines(docs), "line_number", "kind") == [(2, "match"), (3, "context")]
+    assert rows(SearchRequest("hit", invert=True).files(docs), "path") == [("a.txt",), ("z\0",)]
+    assert rows(SearchRequest("hit", invert=True).files_without(docs), "path") == [("b.txt",)]
+    assert SearchRequest("hit", max_count=2, **only_a).count(docs) == 2 and SearchRequest("hit", invert=True, **only_a).count_matches(docs) == 3
+    assert SearchRequest("hit$", **only_a).count(docs) == 0 and SearchRequest("hit$", crlf=True, **only_a).count(docs) == 1
+    assert rows(SearchRequest("hit", null_data=True, globs=("z*",)).lines(docs), "line_number", "line") == [(1, "hit"), (2, "hit\nx")]
+    assert rows(SearchRequest("hit", skip_binary=True).files(docs), "path") == [("a.txt",), ("b.txt",)]
+    assert [r.path for r in SearchRequest("hit", sort="path", reverse=True, max_results=2).files(docs).collect()] == ["z\0", "b.txt"]
+    assert SearchRequest("hit", max_count=0).absent(docs) and exit_code(SearchRequest("hit"), docs) == 0
+    for bad in ({"multiline": True, "invert": True}, {"multiline": True, "context": 1}, {"sort": "size"}, {"sort": "modified"}):
+        with pytest.raises(ValueError):
+            SearchRequest("hit", **bad).lines(docs)
+    with pytest.raises(ValueError):
+        SearchRequest("hit", null_data=True, multiline=True)
+
+
+def test_json_stream(spark, tree):
+    got = sorted((r.path or "~", r.seq, json.loads(r.value)) for r in SearchRequest("TODO", context=1).json(tree).collect())
+    a = [v for path, _, v in got if path == "a.py"]
+    assert [v["type"] for v in a] == ["begin", "context", "match", "end"]
+    assert a[2]["data"]["submatches"][0] == {"text": "TODO", "start": 11, "end": 15} and a[3]["data"] == {"path": "a.py", "matched_lines": 1, "matches": 2}
+    assert got[-1][2] == {"type": "summary", "data": {"files": 3, "matched_lines": 3, "matches": 4}}
+
+
+def test_formatted(spark):
+    rows = spark.createDataFrame([("a/b", 1, "  " + "x" * 9, "match"), ("a/b", 2, "y", "context")], "path string, line_number long, line string, kind string")
+    of = lambda **how: [r.value for r in search.formatted(rows, **how).collect()]
+    assert of() == ["a/b:1:  xxxxxxxxx", "a/b-2-y"]
+    assert of(trim=True, max_columns=4, preview=True, path_separator="\\", number=False) == ["a\\b:xxxx [... more]", "a\\b-y"]
+    assert of(with_path=False, max_columns=4) == ["1:[Omitted long line]", "2-y"] and of(null=True)[1] == "a/b\x002-y"
+
+
+def test_ignore_tree(spark):
+    docs = corpus.from_texts(spark, {".gitignore": "*.log\nbuild/\n# note\n", ".ignore": "!keep.log\n", "sub/.gitignore": "!in.log\n/top.txt\n", "a.log": "", "keep.log": "", "sub/in.log": "", "sub/out.log": "", "sub/top.txt": "", "sub/d/top.txt": "", "build/in.log": "", "build/keep.log": "", "x/build": ""})
+    tree = corpus.ignore_tree(docs)
+    seen = {r.path for r in SearchRequest("x", ignore_tree=tree).listing(docs).collect()}
+    assert seen == {"keep.log", "sub/in.log", "sub/d/top.txt", "x/build"}
+    assert SearchRequest("x", ignore_tree=tree, no_ignore=True).listing(docs).count() == 9
+    assert "a.log" in {r.path for r in SearchRequest("x", ignore_tree=tree, globs=("*.log",)).listing(docs).collect()}
+
+
+def test_type_registry():
+    assert paths.registry(("x:*.x", "x:include:py,go"), ())["x"] == ("*.x", "*.py", "*.pyi", "*.go")
+    assert "go" not in paths.registry((), ("go",))
+    for bad in ("x", "x:", ":*.x", "all:*.x", "x:include:nope"):
+        with pytest.raises(ValueError):
+            paths.registry((bad,))
+
+
+def test_charter():
+    c = charter.parse('roots = ["src"]\nskip = ["vendor/"]\ntypes = ["x:*.x"]\n')
+    assert charter.parse(c.to_toml()) == c
+    r = c.apply(SearchRequest("q", ignore_rules=("*.log",)))
+    assert r.paths == ("src",) and r.ignore_rules == ("*.log", "vendor/") and r.type_add == ("x:*.x",)
+    assert c.apply(SearchRequest("q", paths=("lib",))).paths == ("lib",)
+    assert [len(charter.problems(t)) for t in ("roots = 1", "colour = []", "types = ['x']", "= ", "")] == [1, 1, 1, 1, 0]
+
+
+def test_cursor(spark):
+    rows = spark.range(0, 1000, 1, 8)
+    with Cursor(rows, max_results=10) as c:
+        assert len(c.batch(4)) == 4 and len(c.batch(100)) == 6 and c.matched and c.stopped == "max_results"
+    with Cursor(rows.limit(3), max_results=3) as c:
+        assert len(list(c)) == 3 and c.stopped == "end"
+    with Cursor(rows.where("id < 0")) as c:
+        assert not list(c) and not c.matched and c.stopped == "end"
+    slow = rows.select(F.expr("java_method('java.lang.Thread', 'sleep', 20L)").alias("x"))
+    with Cursor(slow, timeout=0.5) as c:
+        list(c)
+        assert c.stopped == "timeout"
+    seen = []
+    assert push(rows, lambda r: seen.append(r.id) or len(seen) == 5) == "cancelled" and seen == [0, 1, 2, 3, 4]
+    assert rows.count() == 1000  # others' jobs go on
+
+
+def test_stale_index_gives_current_answers(spark, tmp_path):
+    docs = corpus.from_texts(spark, {f"f{i}": f"text {i} alpha\n" for i in range(12)})
+    at, p = f"file://{tmp_path}/ix", compile_pattern("alpha")
+    index.build(docs, at)
+    assert index.staleness(docs, at).first()[:2] == (12, 0)
+    assert index.kept(docs, at, p).count() == 12 and index.kept(docs, at, p).count() == 12
+    new = docs.where("doc_id > 2").withColumn("body", F.when(F.col("doc_id") == 5, "alpha alpha\nalpha\n").when(F.col("doc_id") == 6, "none").otherwise(F.col("body")))
+    want = sorted(map(tuple, search.matching_lines(new, p).collect()))
+    assert sorted(map(tuple, index.search_fresh(new, at, p).collect())) == want == sorted(map(tuple, index.kept(new, at, p).collect()))
+    assert index.staleness(new, at).first().stale_files == 5
+
+
+def test_preprocessor(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.up").write_bytes(b"needle\n")
+    (tmp_path / "d/b.gz").write_bytes(gzip.compress(b"needle\n"))
+    docs = corpus.files(spark, f"file://{tmp_path}/d", decompress=True, pre=bytes.upper, pre_globs=("*.up",))
+    assert sorted(r.body for r in docs.collect()) == ["NEEDLE\n", "needle\n"]
