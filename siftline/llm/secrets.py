@@ -1,7 +1,7 @@
 """Secret scans with a random forest against false positives (operator 5).
 
-Candidates are found by shape: known key formats, and long runs of key characters that carry digits
-or follow an assignment. Each gets its length, character transitions, the share of it that common
+Candidates are found by shape, whatever their length: known key formats, quoted values of assignments,
+unquoted ones after secret names, and long runs of key characters that carry digits. Each gets its length, character transitions, the share of it that common
 fragments of the corpus's own words cover, features of its path (the source's name and language) and
 of the words around it. A forest trained on labelled findings then decides.
 
@@ -10,8 +10,8 @@ of the words around it. A forest trained on labelled findings then decides.
 (hashes in listings, identifiers, words, numbers), drawn from a fixed seed; so no corpus row is
 learnt from and the model is the same at every size.
 
-Defined cases: null and empty texts have no findings; null paths are empty ones; overlapping
-candidates are cut to the leftmost longest; repeated rows are scanned each; other columns are kept
+Defined cases: null and empty texts have no findings; null paths are empty ones; candidates may
+overlap, and secrets that do are joined to one span with the highest score; repeated rows are scanned each; other columns are kept
 by ``redact`` and ignored by ``scan``.
 """
 
@@ -44,10 +44,13 @@ FORMATS = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s0-9A-Za-z+/=]*-----END [A-Z ]*PRIVATE KEY-----)?",
 )
 KNOWN = re.compile("|".join(FORMATS))
-#: ... and any value of a quoted or bare assignment, or a long run of key characters with a digit.
-ASSIGNED = r"""(?<=[=:]\s["'])[0-9A-Za-z+/_\-.~!@#$%^&*]{8,256}(?=["'])|(?<=[=:]["'])[0-9A-Za-z+/_\-.~!@#$%^&*]{8,256}(?=["'])"""
-BARE = r"(?<![0-9A-Za-z+/_\-])(?=[A-Za-z+/_\-]{0,64}[0-9])[0-9A-Za-z+/_\-]{16,256}={0,2}"
-CANDIDATE = re.compile("|".join(FORMATS) + "|" + ASSIGNED + "|" + BARE)
+#: ... and any value of a quoted assignment, or a long run of key characters with a digit. Runs have no
+#: upper bound; possessive, and begun only at a run's start, they stay linear.
+ASSIGNED = r"""(?<=[=:]\s["'])[0-9A-Za-z+/_\-.~!@#$%^&*]{8,}+(?=["'])|(?<=[=:]["'])[0-9A-Za-z+/_\-.~!@#$%^&*]{8,}+(?=["'])"""
+BARE = r"(?<![0-9A-Za-z+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[0-9A-Za-z+/_\-]{16,}+={0,2}"
+SHAPED = re.compile(ASSIGNED + "|" + BARE)
+#: ... and unquoted values; ``candidates`` keeps those after a name that holds one of NAMES.
+UNQUOTED = re.compile(r"(?::=|=>|[=:])[ \t]*+(?P<value>[0-9A-Za-z+/_\-.~!@#$%^&*]{8,}+={0,2})")
 NAMES = ("token", "secret", "key", "passw", "pwd", "auth", "credential", "bearer", "api", "private", "signing")
 DECOYS = ("example", "dummy", "sample", "test", "placeholder", "sha", "md5", "hash", "commit", "checksum", "digest", "uuid", "version", "id")
 #: Common letter pairs of running text: what a dictionary of words covers most. Fixed values.
@@ -160,7 +163,7 @@ def synthetic_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, st
         lambda: "AKIA" + of(up + dig, 16), lambda: "ghp_" + of(low + up + dig, 36), lambda: "sk-" + of(low + up + dig, r.choice([24, 32, 48])), lambda: "AIza" + of(low + up + dig + "_-", 35),
         lambda: "xoxb-" + of(dig, 11) + "-" + of(low + up + dig, 24), lambda: of("0123456789abcdef", r.choice([32, 40, 64])), lambda: of(low + up + dig + "+/", r.choice([32, 40, 44])),
         lambda: of(low + up + dig, r.randint(16, 40)), lambda: "eyJ" + of(low + up + dig, 20) + "." + of(low + up + dig, 40), lambda: of(low + up + dig + "!@#$%^&*", r.randint(10, 20)),
-        lambda: "-----BEGIN RSA PRIVATE KEY-----",
+        lambda: "-----BEGIN RSA PRIVATE KEY-----", lambda: of(low + up + dig + "+/", r.choice([300, 344, 512, 1024])),
     )
     names = ("token", "api_key", "secret", "password", "auth_token", "SECRET_KEY", "aws_secret_access_key", "private_key", "bearer", "pwd", "client_secret", "key")
     out = []
@@ -170,10 +173,14 @@ def synthetic_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, st
         if r.random() < 0.75 or kind >= 5 and kind != 8 and kind != 10:
             q = r.choice(['"', "'", '"'])
             left, right = f"{prose()} {r.choice(names)}{r.choice([' = ', '=', ': '])}{q}", f"{q} {prose()}"
+            if r.random() < 0.3:
+                left, right = f"{prose()} {r.choice(names)}=", r.choice([" ", "\n"]) + prose()
+                if r.random() < 0.5:
+                    text = r.choice([lambda: word(4) + word(4) + word(4), lambda: word(2) + of(dig, 3) + word(2) + of(dig, 3)])()
         else:
             left, right = prose() + " ", r.choice(["", "### ", "*** "]) + " " + prose()
         out.append((text, left, right, path(), 1))
-        d = r.randrange(10)
+        d = r.randrange(12)
         if d == 0:
             text, left = of("0123456789abcdef", r.choice([32, 40, 64])), f"{prose()} {r.choice(['sha256', 'commit', 'md5', 'checksum', 'digest'])}{r.choice([' ', ': ', '='])}"
         elif d == 1:
@@ -192,6 +199,10 @@ def synthetic_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, st
             text, left = word(4) + "-" + word(4), f'{prose()} {r.choice(["class", "href", "name", "title", "lang", "ref"])}="'
         elif d == 8:
             text, left = of(dig, 4) + "-" + of(dig, 2) + "-" + of(dig, 2) + "T" + of(dig, 2), prose() + " "
+        elif d == 9:
+            text, left = word(3) + word(3), f"{prose()} {r.choice([*names, 'author', 'keyword', 'capital'])}: "
+        elif d == 10:
+            text, left = r.choice(["get", "load", "os.", "self.", "config."]) + word(2) + r.choice(["_", "."]) + word(2), f"{prose()} {r.choice(names)} = "
         else:
             text, left = "".join(of(low + up, r.randint(1, 3)) + word(2) for _ in range(4)) + of(dig, 1), prose() + " "
         out.append((text, left, ('"' if left.endswith('"') else "") + " " + prose(), path(), 0))
@@ -204,15 +215,30 @@ def production_forest() -> Forest:
     return Forest.fit(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows]))
 
 
-#: Every candidate has a digit or one of these in it or right before it.
-_HINT = re.compile(r"[0-9]|PRIVATE KEY|[=:]\s?[\"']")
+#: Every candidate has a digit, a sign of assignment or the beginning of a key format in it or before it.
+_HINT = re.compile(r"[0-9=:]|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ")
+
+
+def _name_before(text: str, end: int) -> str:
+    """The name that an assignment's sign at ``end`` follows."""
+    while end and text[end - 1] in " \t\"'":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_-."):
+        start -= 1
+    return text[start:end].lower()
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Character spans, leftmost first, without overlaps."""
+    """Distinct character spans, in order. A key format inside a longer run is a candidate besides it."""
     if not _HINT.search(text):
         return []
-    return [m.span() for m in CANDIDATE.finditer(text)]
+    spans = {m.span() for p in (KNOWN, SHAPED) for m in p.finditer(text)}
+    for m in UNQUOTED.finditer(text):
+        name = _name_before(text, m.start())
+        if any(k in name for k in NAMES):
+            spans.add(m.span("value"))
+    return sorted(spans)
 
 
 def find(texts: list[str], paths: list[str], forest: Forest, threshold: float) -> list[list[tuple[int, int, float]]]:
@@ -226,7 +252,11 @@ def find(texts: list[str], paths: list[str], forest: Forest, threshold: float) -
     if rows:
         for (i, a, b), s in zip(where, forest.score(np.array(rows)), strict=True):
             if s >= threshold:
-                out[i].append((a, b, float(s)))
+                if out[i] and a < out[i][-1][1]:
+                    begin, end, score = out[i].pop()
+                    out[i].append((begin, max(b, end), max(float(s), score)))
+                else:
+                    out[i].append((a, b, float(s)))
     return out
 
 
