@@ -1,9 +1,12 @@
 """Secret scans with a random forest against false positives (operator 5).
 
 Candidates are found by shape, whatever their length: known key formats, quoted values of assignments,
-unquoted ones after secret names, and long runs of key characters that carry digits. Each gets its length, character transitions, the share of it that common
-fragments of the corpus's own words cover, features of its path (the source's name and language) and
-of the words around it. A forest trained on labelled findings then decides.
+unquoted ones after secret names, and long runs of key characters that carry digits. Each gets its length, character transitions, the share of it that words of a dictionary cover, features
+of its path (folders and endings that tell, its language) and of the words around it. A forest trained
+on labelled findings then decides.
+
+The dictionary is the words of a public vocabulary, the same for every corpus (``dictionary``). The path
+of a document is its source, id and language, as the search operators name it (``path_of``).
 
 ``Forest.fit`` takes any labelled findings (candidate, left and right context, path, label).
 ``synthetic_findings`` makes the production set: secrets of documented formats and look-alikes
@@ -53,17 +56,51 @@ SHAPED = re.compile(ASSIGNED + "|" + BARE)
 UNQUOTED = re.compile(r"(?::=|=>|[=:])[ \t]*+(?P<value>[0-9A-Za-z+/_\-.~!@#$%^&*]{8,}+={0,2})")
 NAMES = ("token", "secret", "key", "passw", "pwd", "auth", "credential", "bearer", "api", "private", "signing")
 DECOYS = ("example", "dummy", "sample", "test", "placeholder", "sha", "md5", "hash", "commit", "checksum", "digest", "uuid", "version", "id")
-#: Common letter pairs of running text: what a dictionary of words covers most. Fixed values.
-PAIRS = frozenset("th he in er an re nd on en at ou ed ha to or it is hi es ng st nt ti se as ar al ve me de le te co io ne ea ra ce li ch ll be ma si om ur qu ie un ei ic la el lo os do ci ad ja ue ja".split())
+#: Words of paths whose findings are mostly look-alikes, and mostly secrets; endings of languages. Fixed values.
+HARMLESS = re.compile(r"(?:^|[^a-z])(?:tests?|spec|examples?|docs?|fixtures?|samples?|vendor|node_modules|lock)(?:[^a-z]|$)")
+TELLING = re.compile(r"(?:^|[^a-z])(?:env|config|conf|settings|secrets?|credentials?|deploy|prod|ini|ya?ml|properties|pem|tfvars)(?:[^a-z]|$)")
+CODE = re.compile(r"\.(?:py|js|ts|go|rs|java|rb|c|cpp|php|sh)$")
+PROSE = re.compile(r"\.(?:en|fr|de|es|md|txt|rst|html)$")
+SHORTEST_WORD, LONGEST_WORD = 4, 16
 
-N_FEATURES = 28
+N_FEATURES = 31
 
 
 def _kind(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-def features(text: str, left: str, right: str, path: str) -> list[float]:
+@lru_cache(maxsize=1)
+def dictionary() -> frozenset[str]:
+    """Words of SHORTEST_WORD to LONGEST_WORD plain letters of the public vocabulary, as they begin in it."""
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+    words = (p[1:].lower() for p in pieces if p.startswith("▁"))
+    return frozenset(w for w in words if re.fullmatch(f"[a-z]{{{SHORTEST_WORD},{LONGEST_WORD}}}", w))
+
+
+def coverage(low: str, words: frozenset[str]) -> float:
+    """The largest share of ``low`` (small letters) that words without overlaps can cover."""
+    best = [0] * (len(low) + 1)
+    run = 0
+    for i in range(1, len(low) + 1):
+        run = run + 1 if "a" <= low[i - 1] <= "z" else 0
+        most = best[i - 1]
+        for k in range(SHORTEST_WORD, min(run, LONGEST_WORD) + 1):
+            if best[i - k] + k > most and low[i - k : i] in words:
+                most = best[i - k] + k
+        best[i] = most
+    return best[-1] / max(1, len(low))
+
+
+def path_of(source, doc_id, lang) -> str:
+    return f"{source or ''}/{'' if doc_id is None else doc_id}" + (f".{lang}" if lang else "")
+
+
+def features(text: str, left: str, right: str, path: str, words: frozenset[str] | None = None) -> list[float]:
     n = max(1, len(text))
     kinds = [_kind(c) for c in text]
     share = [kinds.count(k) / n for k in range(4)]
@@ -73,20 +110,21 @@ def features(text: str, left: str, right: str, path: str) -> list[float]:
     low = text.lower()
     pairs = [low[i : i + 2] for i in range(len(low) - 1)]
     letters = [p for p in pairs if p.isalpha()]
-    covered = sum(p in PAIRS for p in letters) / max(1, len(letters))
+    covered = coverage(low, dictionary() if words is None else words)
     longest = max((len(m) for m in re.findall("[a-z]+", low)), default=0)
     digits = max((len(m) for m in re.findall("[0-9]+", low)), default=0)
     before, after = left.lower(), right.lower()
     near = re.findall(r"[a-z0-9_]+", before)[-3:]
     named = any(k in w for w in near for k in NAMES)
     decoy = any(w == d or w.startswith(d) for w in near for d in DECOYS)
+    where = path.lower()
     first = re.match(r"\s*[\"']?\s*(\w*)", after)
     return [
         len(text), math.log(n), *share, moves, entropy, entropy / math.log2(n + 1), covered, len(letters) / max(1, len(pairs)), longest / n, digits / n, len(set(text)) / n,
         float(re.fullmatch("[0-9a-f]+", text) is not None), float(re.fullmatch("[0-9a-fA-F-]{36}", text) is not None), float(KNOWN.fullmatch(text) is not None),
         float(len(text) % 4 == 0), float(text.endswith("=")), float(text.count("/") > 1), float(text.count("-") + text.count("_") > 2),
         float(named), float(decoy), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before != ""), float(after[:1] in "\"'" and after != ""),
-        float(len(first[1]) if first else 0), float(bool(re.search(r"test|example|doc|lock|vendor", path.lower()))),
+        float(len(first[1]) if first else 0), *(float(p.search(where) is not None) for p in (HARMLESS, TELLING, CODE, PROSE)),
     ]
 
 
@@ -156,9 +194,20 @@ def synthetic_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, st
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     of = lambda s, k: "".join(r.choice(s) for _ in range(k))
     parts = "th er in an re on he ou en ti at nd le de la que ment tion ing ion est ver sch der".split()
-    word = lambda k=3: "".join(r.choice(parts) for _ in range(r.randint(1, k)))
+    known = sorted(dictionary())
+    # dictionary words, and invented ones: texts have both
+    word = lambda k=3: r.choice(known) if r.random() < 0.5 else "".join(r.choice(parts) for _ in range(r.randint(1, k)))
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 6)))
-    path = lambda: f"src{r.randint(0, 30)}/{r.choice(['en', 'fr', 'de', 'es', 'py', 'js', 'env', 'yml'])}"
+    plain = lambda: f"src{r.randint(0, 30)}/{r.randint(0, 10**6)}.{r.choice(['en', 'fr', 'de', 'es', 'py', 'js'])}"
+    harmless = lambda: f"{r.choice(['tests', 'docs', 'examples', 'vendor', 'fixtures', 'src/test', 'spec'])}/{r.choice(known)}.{r.choice(['py', 'js', 'md', 'txt', 'lock', 'en'])}"
+    telling = lambda: f"{r.choice(['config', 'deploy', 'settings', 'prod', 'app', 'src'])}/{r.choice(known)}.{r.choice(['env', 'yml', 'ini', 'properties', 'tfvars', 'pem'])}"
+
+    def path(label: int) -> str:
+        """Half are plain; the others tell the label of most."""
+        if r.random() < 0.5:
+            return plain()
+        return telling() if r.random() < (0.96 if label else 0.25) else harmless()
+
     keys = (
         lambda: "AKIA" + of(up + dig, 16), lambda: "ghp_" + of(low + up + dig, 36), lambda: "sk-" + of(low + up + dig, r.choice([24, 32, 48])), lambda: "AIza" + of(low + up + dig + "_-", 35),
         lambda: "xoxb-" + of(dig, 11) + "-" + of(low + up + dig, 24), lambda: of("0123456789abcdef", r.choice([32, 40, 64])), lambda: of(low + up + dig + "+/", r.choice([32, 40, 44])),
@@ -179,8 +228,8 @@ def synthetic_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, st
                     text = r.choice([lambda: word(4) + word(4) + word(4), lambda: word(2) + of(dig, 3) + word(2) + of(dig, 3)])()
         else:
             left, right = prose() + " ", r.choice(["", "### ", "*** "]) + " " + prose()
-        out.append((text, left, right, path(), 1))
-        d = r.randrange(12)
+        out.append((text, left, right, path(1), 1))
+        d = r.randrange(13)
         if d == 0:
             text, left = of("0123456789abcdef", r.choice([32, 40, 64])), f"{prose()} {r.choice(['sha256', 'commit', 'md5', 'checksum', 'digest'])}{r.choice([' ', ': ', '='])}"
         elif d == 1:
@@ -203,9 +252,11 @@ def synthetic_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, st
             text, left = word(3) + word(3), f"{prose()} {r.choice([*names, 'author', 'keyword', 'capital'])}: "
         elif d == 10:
             text, left = r.choice(["get", "load", "os.", "self.", "config."]) + word(2) + r.choice(["_", "."]) + word(2), f"{prose()} {r.choice(names)} = "
+        elif d == 11:  # made-up keys of tests and examples: their path alone tells
+            text, left = keys[r.choice([5, 6, 7, 9])](), f'{prose()} {r.choice(names)}{r.choice([" = ", "=", ": "])}"'
         else:
             text, left = "".join(of(low + up, r.randint(1, 3)) + word(2) for _ in range(4)) + of(dig, 1), prose() + " "
-        out.append((text, left, ('"' if left.endswith('"') else "") + " " + prose(), path(), 0))
+        out.append((text, left, ('"' if left.endswith('"') else "") + " " + prose(), harmless() if d == 11 else path(0), 0))
     return out
 
 
@@ -241,14 +292,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def find(texts: list[str], paths: list[str], forest: Forest, threshold: float) -> list[list[tuple[int, int, float]]]:
+def find(texts: list[str], paths: list[str], forest: Forest, threshold: float, words: frozenset[str] | None = None) -> list[list[tuple[int, int, float]]]:
     """Spans and scores of what the forest takes for secrets, text by text."""
     out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
     where, rows = [], []
     for i, (text, path) in enumerate(zip(texts, paths, strict=True)):
         for a, b in candidates(text):
             where.append((i, a, b))
-            rows.append(features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path))
+            rows.append(features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path, words))
     if rows:
         for (i, a, b), s in zip(where, forest.score(np.array(rows)), strict=True):
             if s >= threshold:
@@ -260,41 +311,43 @@ def find(texts: list[str], paths: list[str], forest: Forest, threshold: float) -
     return out
 
 
-def _columns(b: pa.RecordBatch, text: int, path: int | None) -> tuple[list[str], list[str]]:
-    texts = [x or "" for x in b.column(text).to_pylist()]
-    return texts, [str(x or "") for x in b.column(path).to_pylist()] if path is not None else [""] * len(texts)
+def _columns(b: pa.RecordBatch, names: list[str]) -> tuple[list[str], list[str]]:
+    """Texts and paths of a batch whose columns are ``names``; what a path lacks is left out of it."""
+    values = lambda c: b.column(names.index(c)).to_pylist() if c in names else [None] * len(b)
+    return [x or "" for x in values("text")], [path_of(*x) for x in zip(values("source"), values("doc_id"), values("lang"), strict=True)]
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_candidates, n_secrets, spans (byte begin and end, score) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or production_forest())
+    shared = docs.sparkSession.sparkContext.broadcast((forest or production_forest(), dictionary()))
+    names = ["doc_id", "text", *[c for c in ("source", "lang") if c in docs.columns]]
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
         for b in batches:
-            texts, paths = _columns(b, 1, 2)
+            texts, paths = _columns(b, names)
             spans = []
-            for text, found in zip(texts, find(texts, paths, shared.value, threshold), strict=True):
+            for text, found in zip(texts, find(texts, paths, shared.value[0], threshold, shared.value[1]), strict=True):
                 at = lambda i, text=text: len(text[:i].encode())
                 spans.append([{"begin": at(s), "end": at(e), "score": round(p, 9)} for s, e, p in found])
             n = pa.array([len(candidates(t)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)], ["doc_id", "n_candidates", "n_secrets", "spans"])
 
-    return small_batches(docs.select("doc_id", "text", "source")).mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, spans array<struct<begin:int,end:int,score:double>>")
+    return small_batches(docs.select(*names)).mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, spans array<struct<begin:int,end:int,score:double>>")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every secret replaced by MARK; all rows and columns stay. ``n_chars`` follows."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or production_forest())
+    shared = docs.sparkSession.sparkContext.broadcast((forest or production_forest(), dictionary()))
     text = docs.columns.index("text")
-    path = docs.columns.index("source") if "source" in docs.columns else None
+    names = docs.columns
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for b in batches:
-            texts, paths = _columns(b, text, path)
+            texts, paths = _columns(b, names)
             old, changed = b.column(text), {}
-            for i, found in enumerate(find(texts, paths, shared.value, threshold)):
+            for i, found in enumerate(find(texts, paths, shared.value[0], threshold, shared.value[1])):
                 if found:
                     t, parts, at = texts[i], [], 0
                     for s, e, _ in found:

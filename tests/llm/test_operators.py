@@ -253,6 +253,18 @@ def test_secrets_of_any_length_and_unquoted():
     assert len(spans("x" * 400_000 + " " + "=" * 100_000 + "a1" * 200_000)) >= 1
 
 
+def test_paths_and_dictionary_decide():
+    x = np.array([secrets.features(*r[:4]) for r in secrets.synthetic_findings(2000, 7)])
+    assert x.shape[1] == secrets.N_FEATURES and all(len(np.unique(x[:, k])) == 2 for k in range(27, 31))
+    used = {int(f) for t in secrets.production_forest().trees for f, cut in zip(t[0], t[1], strict=True) if np.isfinite(cut)}
+    assert set(range(27, 29)) <= used and 9 in used
+    words = frozenset({"house", "boat", "houseboat"})
+    assert secrets.coverage("houseboat", words) == 1 and secrets.coverage("xxboat12", words) == 0.5 and secrets.coverage("hou-seboa", words) == 0
+    assert len(secrets.dictionary()) > 5000 and "house" in secrets.dictionary()
+    score = lambda path: secrets.production_forest().score(np.array([secrets.features("a8f0Zk31bQ90xLw2cD5t", 'the token = "', '" was seen', path)]))[0]
+    assert score("config/prod.env") > 0.5 > score("tests/sample.py")
+
+
 def test_forest_on_held_out_findings():
     draw = secrets.synthetic_findings(1200, 4242)
     s = secrets.production_forest().score(np.array([secrets.features(*r[:4]) for r in draw]))
