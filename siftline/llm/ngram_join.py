@@ -16,6 +16,9 @@ before that only keeps pairs away that cannot reach the threshold:
    pairs the sketches can't rule out are counted exactly. Pairs within one component need no count:
    they can't change it. So copies and near copies cost a star, not all pairs, and no link that
    joins two components is lost.
+5. All links lie within components, so for the number of links all pairs of a component's classes
+   are counted exactly, each pair once, in blocks of bounded size. A block gives sums by class and no
+   rows of pairs; its work grows with the square of a component. ``keep_one`` goes without.
 
 Sets travel as bytes; a fragment is read in slices, so what a task holds follows the distinct
 n-grams of its fragment and not how often they occur.
@@ -46,6 +49,9 @@ SLICE = 1_000_000
 PARTS = 8
 SKETCH_BITS = 1024
 BLOCK = 1500
+#: Classes on a side of a block that counts links, n-grams of small components counted in one group,
+#: n-grams of a slice of its matrix, and up to how many holders an n-gram's pairs are listed instead.
+LINK_BLOCK, LINK_GRAMS, LINK_SLICE, LISTED = 1000, 1_000_000, 4096, 16
 #: Buckets of at most so many members are compared without sketches, in a join's condition.
 SMALL = 48
 FILTER_BYTES = 4 << 20
@@ -446,8 +452,67 @@ def _block_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64)})
 
 
-def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, cls, n; links: x, y between classes). The links found connect exactly what
+def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share, as a matrix."""
+    m = len(lists)
+    out = np.zeros((m, m), np.float32)
+    grams, rows = np.concatenate(lists), np.repeat(np.arange(m), [len(x) for x in lists])
+    order = np.argsort(grams, kind="stable")
+    grams, rows = grams[order], rows[order]
+    edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    held = np.diff(np.append(edge, len(grams)))
+    few = np.repeat(held <= LISTED, held)
+    g, r = grams[few], rows[few]
+    for d in range(1, LISTED):
+        same = np.flatnonzero(g[d:] == g[:-d])
+        if not len(same):
+            break
+        np.add.at(out, (r[same], r[same + d]), 1)
+    out += out.T
+    places, r = np.repeat(np.cumsum(held > LISTED) - 1, held)[~few], rows[~few]
+    cuts = np.searchsorted(places, np.arange(0, (held > LISTED).sum() + LINK_SLICE, LINK_SLICE))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if a < b:
+            has = np.zeros((m, places[b - 1] - k * LINK_SLICE + 1), np.float32)
+            has[r[a:b], places[a:b] - k * LINK_SLICE] = 1
+            out += has @ has.T
+    return out
+
+
+def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Per class of a block, how many documents of its other classes (of the other side, if the block
+    has two) are linked to it; components apart."""
+    out = []
+    for _, one in pdf.groupby("root", sort=False):
+        n, side, weight = (one[c].to_numpy(np.int64) for c in ("n", "side", "weight"))
+        both = _overlaps([np.asarray(x, np.int64) for x in one.grams]).astype(np.int64)
+        linked = both * (100 + percent) >= percent * (n[:, None] + n[None, :])
+        if one.i.iat[0] != one.j.iat[0]:
+            linked &= side[:, None] != side[None, :]
+        np.fill_diagonal(linked, False)
+        out.append(pd.DataFrame({"cls": one.cls.to_numpy(), "links": linked @ weight}))
+    return pd.concat(out)
+
+
+def link_counts(roots: DataFrame, sets: DataFrame, weights: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """cls, links: for the classes of all components (node, root), the documents of other classes
+    that reach the threshold with it. ``weights``: cls, weight, its documents."""
+    facts = materialise(roots.withColumnRenamed("node", "cls").join(sets.select("cls", "n", "grams"), "cls").join(weights, "cls"))
+    kinds = facts.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"))
+    kinds = materialise(kinds.withColumn("blocks", F.ceil(F.col("m") / LINK_BLOCK).cast("int")))
+    groups = 1 + (kinds.where("blocks = 1").agg(F.sum("volume")).first()[0] or 0) // LINK_GRAMS
+    # small components share groups; a group of a large one is one block of it
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.col("root"))
+    seats = facts.join(kinds.select("root", "blocks"), "root").withColumn("grp", group).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    seats = seats.withColumn("b", F.explode(others)).select("blocks", "grp", "root", "cls", "n", "grams", "weight", "b.i", "b.j", (F.col("own") != F.col("b.i")).cast("int").alias("side"))
+    partial = seats.groupBy("blocks", "grp", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "cls long, links long")
+    return partial.groupBy("cls").agg(F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(documents: id, cls, n; links: x, y between classes; sets of the classes that may have links,
+    None if there are none). The links found connect exactly what
     all links would connect; pairs within a component that others already join are left out."""
     bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = _fragments(bulk / 6 * HEAD / 256)
@@ -456,7 +521,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     whole = counted.groupBy("cls").agg(F.sum("shared").alias("shared"), F.min("id").alias("rep"), F.max("n").alias("n"), F.max("head").alias("head"))
     left = whole.where((F.col("n") > 0) & (F.coalesce("shared", F.lit(0)) >= F.col("head") - _spare(percent)))
     left = materialise(left.select("cls", "rep", F.coalesce("shared", F.lit(0)).alias("shared")))
-    none = (members, members.select(F.col("cls").alias("x"), F.col("cls").alias("y")).limit(0))
+    none = (members, members.select(F.col("cls").alias("x"), F.col("cls").alias("y")).limit(0), None)
     if not row_count(left):
         return none
     asked = left.select(F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("_id")).distinct()
@@ -507,29 +572,35 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     known = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     rest = materialise(_verify(materialise(more.join(known, ["x", "y"], "left_anti")), parts, percent))
-    return members, links.unionByName(rest)
+    return members, links.unionByName(rest), sets
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    members, links = classes(docs, percent)
+def join(docs: DataFrame, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, distinct_texts and, if ``count_links``, n_links (how many other
+    rows reach the threshold with it, copies among them) for every row of ``docs``."""
+    members, links, sets = classes(docs, percent)
     none = F.lit(2**63 - 1)
     own = F.when(F.col("id") != none, F.col("id"))
     if not row_count(links):
         roots = links.select(F.col("x").alias("node"), F.col("y").alias("root"))
     else:
-        roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        roots = materialise(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))))
     # class, then component: the least id is counted class by class before components are joined
-    least = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
+    least = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    if count_links:
+        least = materialise(least)
+        counts = link_counts(roots, sets, least.select("cls", "weight"), percent) if sets is not None else least.select("cls", F.lit(0).cast("long").alias("links"))
+        least = least.join(counts, "cls", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
     least = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     joined = least.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("kinds"))
-    names = least.join(joined, "root").select("cls", "first", "kinds")
+    names = least.join(joined, "root").select("cls", "first", "kinds", *(["n_links"] if count_links else []))
     out = members.join(names, "cls", "left")
     first = F.when(F.col("n") > 0, F.when(F.col("first") != none, F.col("first"))).otherwise(own)
-    return out.select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), first.alias("component_id"), F.coalesce("kinds", F.lit(1)).alias("distinct_texts"))
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), first.alias("component_id"), F.coalesce("kinds", F.lit(1)).alias("distinct_texts"), *counted)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the least of their component."""
-    gone = join(docs, percent).where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = join(docs, percent, count_links=False).where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

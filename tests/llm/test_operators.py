@@ -85,6 +85,28 @@ def test_ngram_join(spark, docs):
     assert got == brute_components(texts)
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    r = random.Random(4)
+    texts = []
+    for g in range(4):  # groups of near copies around a pivot, and copies of some of them
+        base = [f"g{g}v{r.randrange(400)}" for _ in range(120)]
+        for _ in range(30 if g == 0 else 5):
+            w = list(base)
+            for _ in range(r.randrange(0, 4)):
+                w[r.randrange(len(w))] = f"x{r.randrange(99)}"
+            texts += [" ".join(w)] * r.choice([1, 1, 3])
+    texts += ["alone with words of its own here", "", None]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(near(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, listed in ((1000, 16), (7, 2)):  # in one block, and in several
+        monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+        monkeypatch.setattr(ngram_join, "LISTED", listed)
+        assert {x["doc_id"]: x["n_links"] for x in rows(ngram_join.join(df))} == want
+    assert max(want.values()) > 10
+
+
 def test_ngram_join_edges(edge, nothing):
     got = rows(ngram_join.join(edge))
     assert len(got) == len(CASES)
