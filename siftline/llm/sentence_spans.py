@@ -1,8 +1,8 @@
 """Substring deduplication by sliding spans of sentences (operator 10).
 
 From every sentence, the run of at least ``RUN`` consecutive sentences that first reaches
-``LEAST_WORDS`` words is hashed, and the hashes are joined over the whole corpus; sentences covered
-by any span but the first of its kind are removed. First is the smallest (doc_id, place). A sentence
+``LEAST_WORDS`` words is hashed, and so is the run that first does backwards, so that a passage's last
+sentences are covered like its first. The hashes are joined over the whole corpus; sentences covered by any span but the first of its kind are removed. First is the smallest (doc_id, place). A sentence
 of at least ``LONE_WORDS`` words is also a span of its own, so a passage without inner stops isn't
 lost. What decides a span is inside it, so a passage has the same spans wherever it stands.
 
@@ -73,6 +73,13 @@ def spans(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST_WORDS
                 end = np.minimum(until, len(rows)) - 1
                 whole = np.flatnonzero((until <= len(rows)) & (rows[end] == rows))
                 until = until[whole]
+                # the latest start from which the words up to a sentence's end suffice
+                last = np.arange(len(rows))
+                since = np.minimum(np.searchsorted(total, total[1:] - least_words, "right") - 1, last - run_length + 1)
+                back = np.flatnonzero((since >= 0) & (rows[np.maximum(since, 0)] == rows))
+                # runs that are both are one span
+                back = back[~np.isin(since[back] * (len(rows) + 1) + back + 1, whole * (len(rows) + 1) + until)]
+                whole, until = np.concatenate([whole, since[back]]), np.concatenate([until, back + 1])
                 up, down = power_tables(len(rows) + 1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(rows)], dtype=np.uint64)])
                 run_hashes = mix((sums[until] - sums[whole]) * down[whole] + (until - whole).astype(np.uint64))

@@ -403,6 +403,22 @@ def test_sentence_spans(spark, edge, nothing):
     out = rows(sentence_spans.deduplicate(edge))
     assert len(out) == len(CASES) and rows(sentence_spans.deduplicate(nothing)) == []
 
+
+def test_ends_of_passages_go_too(spark):
+    passage = "The quick brown fox jumped over seven lazy dogs in the yard today. It slept near the warm barn for many hours then. So it goes. Nobody saw."
+    df = edge_docs(spark, [(1, f"{passage} First words that follow here are its own.", "s"), (2, f"Before. {passage} Second words behind it are others.", "s"), (3, f"{passage}\nThird.", "s")])
+    got = {x["doc_id"]: x["text"] for x in rows(sentence_spans.deduplicate(df))}
+    assert got[2] == "Before. Second words behind it are others." and got[3] == "Third." and got[1].startswith(passage)
+    # every run that reaches the words in one direction and in no shorter run, by brute force
+    r = random.Random(9)
+    words = [r.randint(1, 9) for _ in range(60)]
+    text = " ".join(" ".join(f"a{i}b{k}" for k in range(n)) + "." for i, n in enumerate(words))
+    enough = lambda a, b: b - a >= 2 and sum(words[a:b]) >= 12
+    want = {(a, b) for a in range(60) for b in range(a + 2, 61) if enough(a, b) and not (enough(a, b - 1) and enough(a + 1, b))}
+    found = [(x["place"], x["place"] + x["length"]) for x in rows(sentence_spans.spans(edge_docs(spark, [(1, text, "s")])))]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_common_spans_are_joined_alike(spark, docs, monkeypatch):
     want = sorted((x["doc_id"], x["n_removed"], x["text"] or "") for x in rows(sentence_spans.deduplicate(docs)))
     for common in (1, 10**9):  # none or all spans count as common
