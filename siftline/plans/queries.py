@@ -137,6 +137,7 @@ register("ignore_hierarchy", f"WITH {D} SELECT path FROM d WHERE NOT (starts_wit
 register("type_registry", f"WITH {L} SELECT path, line_number, line FROM l WHERE (ends_with(path, '.fr') OR ends_with(path, '.de')) AND {HAS}", lambda d: SearchRequest("token", fixed=True, types=("prose",), type_add=("prose:include:fr", "prose:*.de")).lines(d))
 register("list_files", f"WITH {D} SELECT path FROM d", lambda d: d.select("path"))
 register("sort_path_component", f"WITH {D} SELECT path FROM d ORDER BY string_split(path, '/') LIMIT 100", lambda d: d.select("path").orderBy(paths.by_component(F.col("path"))).limit(100))
+register("sort_path_whole", f"WITH {D} SELECT path FROM d ORDER BY string_split(path, '/')", lambda d: d.select("path").orderBy(paths.by_component(F.col("path"))))
 
 TRI = f"{D}, t AS (SELECT DISTINCT doc_id, tri FROM (SELECT doc_id, substr(body, unnest(range(1, len(body) - 1)), 3) AS tri FROM d))"
 register("trigram_stats", f"WITH {TRI} SELECT (SELECT count(*) FROM d) AS files, count(DISTINCT tri) AS distinct_trigrams, count(*) AS postings FROM t", index.trigram_stats)

@@ -25,6 +25,12 @@ def test_same_rows(spark, duck, name):
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want))
 
 
+def test_whole_sort_in_order(spark, duck):
+    want = duck.execute(ORACLE_SQL["sort_path_whole"]).fetchall()
+    assert len(want) == duck.execute("SELECT count(*) FROM documents").fetchone()[0] > 100
+    assert [tuple(r) for r in QUERIES["sort_path_whole"](spark, DIR).collect()] == want
+
+
 def test_entry(spark):
     assert driver.entry(spark).columns == ["path", "line_number", "line"]
     assert set(driver.oracle_sql()) <= set(driver.queries())
