@@ -86,6 +86,10 @@ register("only_matching", f"""WITH {L}, m AS (SELECT path, line_number, line, un
     SELECT path, line_number, text FROM m""", lambda d: search.only_matching(d, pat("[0-9a-f]{12,}")).select("path", "line_number", "text"))
 register("match_offsets", f"WITH {L} SELECT path, line_number, strlen(split_part(line, 'token', 1)) AS start, strlen(split_part(line, 'token', 1)) + 5 AS \"end\" FROM l WHERE {HAS}", lambda d: search.match_records(d, TOKEN()).select("path", "line_number", F.col("submatches")[0]["start"].cast("long").alias("start"), F.col("submatches")[0]["end"].cast("long").alias("end")))
 register("vimgrep_columns", f"WITH {L} SELECT path, line_number, strlen(split_part(line, 'License', 1)) + 1 AS col, line FROM l WHERE contains(line, 'License') AND len(string_split(line, 'License')) = 2", lambda d: search.vimgrep(d, pat("License(?!.*License)")).where("length(line) - length(replace(line, 'License', '')) = 7"))
+#: All occurrences in a line, later ones too: {0} by its pieces, with the bytes before each.
+ALL = "{L}, m AS (SELECT path, line_number, line, string_split(line, '{0}') AS p FROM l WHERE contains(line, '{0}')), o AS (SELECT *, unnest(range(1, len(p))) AS i FROM m), s AS (SELECT path, line_number, line, CAST(list_sum([strlen(x) FOR x IN p[1:i]]) + (i - 1) * strlen('{0}') AS BIGINT) AS start FROM o)"
+register("match_offsets_all", f"WITH {ALL.format('token', L=L)} SELECT path, line_number, start, start + 5 AS \"end\" FROM s", lambda d: search.match_records(d, TOKEN()).select("path", "line_number", F.explode("submatches").alias("m")).select("path", "line_number", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end")))
+register("vimgrep_matches", f"WITH {ALL.format('License', L=L)} SELECT path, line_number, start + 1 AS col, line FROM s", lambda d: search.vimgrep(d, pat("License", fixed=True)))
 register("replace_groups", f"""WITH {L} SELECT path, line_number, regexp_replace(line, '([a-z]+) = "([0-9a-f]+)"', '\\2 := \\1', 'g') AS line FROM l WHERE regexp_matches(line, '([a-z]+) = "([0-9a-f]+)"')""", lambda d: search.replaced(d, pat('(?P<k>[a-z]+) = "([0-9a-f]+)"'), "$2 := ${k}"))
 register("passthru", f"WITH {L} SELECT path, line_number, line, {HAS} AS is_match FROM l", lambda d: search.passthru(d, TOKEN()))
 CONTEXT = f"""WITH {L}, h AS (SELECT *, {HAS} AS hit FROM l),

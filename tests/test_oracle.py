@@ -31,6 +31,20 @@ def test_whole_sort_in_order(spark, duck):
     assert [tuple(r) for r in QUERIES["sort_path_whole"](spark, DIR).collect()] == want
 
 
+def test_later_matches_of_a_line(spark):
+    small = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for name in ("vimgrep_matches", "match_offsets_all"):
+        got = QUERIES[name](spark, small)
+        names = ", ".join(f'"{n}"' for n in got.columns)
+        rows = sorted(map(repr, map(tuple, got.collect())))
+        assert rows == sorted(map(repr, con.execute(f"SELECT {names} FROM ({ORACLE_SQL[name]})").fetchall()))
+        print(name, len(rows), got.select("path", "line_number").distinct().count())
+    lines = QUERIES["vimgrep_matches"](spark, small).groupBy("path", "line_number").count()
+    assert lines.where("count > 1").count() > 0
+
+
 def test_entry(spark):
     assert driver.entry(spark).columns == ["path", "line_number", "line"]
     assert set(driver.oracle_sql()) <= set(driver.queries())
