@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,6 +20,7 @@ from siftline.functions import paths
 #: become one expression on the driver.
 IGNORE_FILES, MOST_RULES = (".gitignore", ".ignore", ".rgignore"), 10_000
 DOC = "doc_id long, path string, body string"
+ZSTD, DICTIONARY_MAGIC = b"\x28\xb5\x2f\xfd", 0x184D2A5D
 SPARK_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32"}
 
 
@@ -106,13 +109,29 @@ def _unpacked(data: bytes) -> bytes:
                 return unpack(data)
             except (OSError, zlib.error, lzma.LZMAError):
                 return data
-    if data.startswith(b"\x28\xb5\x2f\xfd"):
+    if data.startswith(ZSTD) or _skippable(data):
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        # skippable frames may lead; one of DICTIONARY_MAGIC holds the dictionary of all frames
+        at, dictionary = 0, None
+        while _skippable(data[at : at + 8]):
+            magic, size = struct.unpack_from("<II", data, at)
+            if magic == DICTIONARY_MAGIC:
+                dictionary = data[at + 8 : at + 8 + size]
+            at += 8 + size
+        if not data.startswith(ZSTD, at):
+            return data
+        if dictionary is not None and dictionary.startswith(ZSTD):
+            dictionary = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(dictionary), read_across_frames=True).read()
+        extra = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        return zstandard.ZstdDecompressor(**extra).stream_reader(io.BytesIO(data[at:]), read_across_frames=True).read()
     return data
 
 
+def _skippable(data: bytes) -> bool:
+    return len(data) >= 8 and 0x50 <= data[0] <= 0x5F and data[1:4] == b"\x2a\x4d\x18"
+
+
 def transformed(raw: DataFrame, change: Callable[[bytes], bytes]) -> DataFrame:
     """A preprocessor over the ``content`` column, as a Python function of bytes; its errors raise."""
 

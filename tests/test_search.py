@@ -283,3 +283,21 @@ def test_preprocessor(spark, tmp_path):
     (tmp_path / "d/b.gz").write_bytes(gzip.compress(b"needle\n"))
     docs = corpus.files(spark, f"file://{tmp_path}/d", decompress=True, pre=bytes.upper, pre_globs=("*.up",))
     assert sorted(r.body for r in docs.collect()) == ["NEEDLE\n", "needle\n"]
+
+
+def test_zstd_of_several_frames(spark, tmp_path):
+    import struct
+
+    import zstandard
+
+    first, second = (zstandard.ZstdCompressor().compress(x) for x in (b"first line\n", b"second line\n"))
+    skip = struct.pack("<II", 0x184D2A50, 3) + b"abc"
+    samples = [f"record {i} of the same kind, number {i * i}\n".encode() * 4 for i in range(500)]
+    trained = zstandard.train_dictionary(2000, samples)
+    packed = [zstandard.ZstdCompressor(dict_data=trained).compress(x) for x in samples[:2]]
+    lead = struct.pack("<II", 0x184D2A5D, len(trained.as_bytes())) + trained.as_bytes()
+    (tmp_path / "two.zst").write_bytes(first + second)
+    (tmp_path / "led.zst").write_bytes(skip + first + skip + second)
+    (tmp_path / "archive.zst").write_bytes(lead + b"".join(packed))
+    got = {r.path.rsplit("/", 1)[1]: r.body for r in corpus.files(spark, str(tmp_path), decompress=True).collect()}
+    assert got == {"two.zst": "first line\nsecond line\n", "led.zst": "first line\nsecond line\n", "archive.zst": b"".join(samples[:2]).decode()}
