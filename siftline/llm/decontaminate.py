@@ -7,8 +7,9 @@ words, which is compared word for word. Benchmark items of under eight words are
 and met by a hash of all their words.
 
 While the benchmark has at most ``LITERALS`` fingerprints, they go into the plan as a set and most
-document windows end there, without a row or a shuffle. Beyond that every winnowed window becomes a
-row and the join is shuffled. Either way only rows of windows move, never texts.
+document windows end there, without a row or a shuffle; only rows of windows move. Beyond that, the
+distinct fingerprints of each document are joined with the benchmark's first, and only windows whose
+fingerprints meet become rows; for that each text is written and moved once.
 
 Defined cases: null and empty texts have no words, no hits and are clean; items without words or
 without id have no windows; rows that share an item id are one item; repeated documents are kept;
@@ -55,20 +56,33 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", F.explode(F.expr(f"if(size(words) >= {WINDOW}, {long}, {short})")).alias("w")).select("item_id", "w.*").distinct()
 
 
-def _candidates(length: int, marks: list[int] | None) -> str:
-    """The document windows of one length whose fingerprint the benchmark has, as structs."""
-    member = "" if marks is None else "[]"
+def _prints(length: int) -> tuple[str, str, str]:
+    """Of the document windows of one length: whether there are any, their starts, and the fingerprint at start s."""
     if length == WINDOW:
-        found = "sequence(0, size(marks) - 1)"
-        value = "get(marks, s)"
-        some = "size(marks) > 0"
+        return "size(marks) > 0", "sequence(0, size(marks) - 1)", "get(marks, s)"
+    return f"size(words) >= {length}", f"sequence(0, size(words) - {length})", f"xxhash64(slice(words, s + 1, {length}))"
+
+
+def _candidates(length: int, marks: list[int] | None) -> str:
+    """The document windows of one length whose fingerprint the benchmark has, as structs: one of
+    ``marks``, or (None) of the row's own ``met``."""
+    some, found, value = _prints(length)
+    if marks is None:
+        member = f"array_contains(met, struct({length} as length, {value} as mark))"
     else:
-        found = f"sequence(0, size(words) - {length})"
-        value = f"xxhash64(slice(words, s + 1, {length}))"
-        some = f"size(words) >= {length}"
-    if member:
-        found = f"filter({found}, s -> {value} IN ({', '.join(f'{m}L' if m > -(2**63) else 'bigint(-9223372036854775808)' for m in marks)}))"
-    return f"if({some}, transform({found}, s -> struct(s as start, {length} as length, {_window('s', str(length))} as window)), array())"
+        member = f"{value} IN ({', '.join(f'{m}L' if m > -(2**63) else 'bigint(-9223372036854775808)' for m in marks)})"
+    return f"if({some}, transform(filter({found}, s -> {member}), s -> struct(s as start, {length} as length, {_window('s', str(length))} as window)), array())"
+
+
+def _met(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """row, met: the distinct fingerprints (length, mark) of each row that the benchmark has too."""
+    each = []
+    for n in lengths:
+        some, found, value = _prints(n)
+        each.append(f"if({some}, transform(array_distinct(transform({found}, s -> {value})), m -> struct({n} as length, m as mark)), array())")
+    own = rows.select("row", F.explode(F.expr(f"concat(cast(array() as array<struct<length:int,mark:bigint>>), {', '.join(each)})")).alias("f")).select("row", "f.*")
+    both = own.join(windows.select("length", "mark").distinct(), ["length", "mark"], "left_semi")
+    return both.groupBy("row").agg(F.collect_list(F.struct("length", "mark")).alias("met"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,8 +94,12 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if n_marks <= LITERALS:  # the size that bounds both this collect and the plan
         for r in windows.select("length", "mark").distinct().collect():
             marks.setdefault(r["length"], []).append(r["mark"])
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words("text").alias("words"))
-    rows = winnowed(rows).withColumn("n_words", F.size("words").cast("long"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if sizes and not marks:
+        rows = materialise(rows)  # its numbers are joined by
+    rows = winnowed(rows.select("row", "doc_id", words("text").alias("words"))).withColumn("n_words", F.size("words").cast("long"))
+    if sizes and not marks:
+        rows = rows.join(_met(rows, windows, sorted(sizes)), "row", "left").withColumn("met", F.coalesce("met", F.expr("cast(array() as array<struct<length:int,mark:bigint>>)")))
     empty = "cast(array() as array<struct<start:int,length:int,window:string>>)"
     found = ", ".join([empty, *(_candidates(n, sorted(marks[n]) if marks else None) for n in sorted(sizes))])
     rows = rows.select("row", "doc_id", "n_words", F.explode_outer(F.expr(f"concat({found})")).alias("h")).select("row", "doc_id", "n_words", "h.*")

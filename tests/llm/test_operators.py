@@ -317,6 +317,17 @@ def test_decontamination_without_literals(spark, docs, monkeypatch):
     assert sorted(map(repr, decontaminate.report(docs, items).collect())) == want
 
 
+def test_fingerprints_meet_before_windows(spark, monkeypatch):
+    df = edge_docs(spark, [(1, " ".join(f"a{i}" for i in range(40)), "s"), (2, " ".join(f"b{i}" for i in range(40)), "s")])
+    items = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(10, 20))), (2, "a5 a6")], "item_id long, text string")
+    want = sorted(map(repr, decontaminate.report(df, items).collect()))
+    monkeypatch.setattr(decontaminate, "LITERALS", 0)
+    found = decontaminate.hits(df, items)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r["items"] for r in found.collect()} == {1: [2], 2: [1]}
+    assert sorted(map(repr, decontaminate.report(df, items).collect())) == want
+
+
 # --- 7
 
 
