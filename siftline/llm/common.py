@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
@@ -59,6 +59,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: So many keys of rows to leave out are broadcast (some tens of MB in a hash table); more are shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``key`` isn't among the values of ``gone`` (one column).
+    While those are few, every row stays where it is."""
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = materialise(gone.toDF(name).distinct())
+    if row_count(gone) <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, key.eqNullSafe(F.col(name)), "left_anti")
+
+
 def row_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]
 

@@ -13,7 +13,9 @@ fingerprints meet become rows; for that each text is written and moved once.
 
 Defined cases: null and empty texts have no words, no hits and are clean; items without words or
 without id have no windows; rows that share an item id are one item; repeated documents are kept;
-an empty benchmark hits nothing; other columns are ignored.
+an empty benchmark hits nothing; other columns are ignored, and kept by ``clean``, which takes out rows
+with any item by default: ``report`` calls two items contamination, but one leaked passage is one too many
+to train on.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise
+from siftline.llm.common import materialise, without
 
 WINDOW, GRAM = 8, 5
 LITERALS = 60_000
@@ -130,10 +132,12 @@ def report(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataF
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't contaminated."""
-    bad = report(docs, benchmark, least_items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
+    """The rows of ``docs``, all columns, with windows of fewer than ``least_items`` items. A row is
+    judged by its own text, whatever ids it shares."""
+    digest = F.unhex(F.md5("text"))
+    bad = hits(docs.select(digest.alias("doc_id"), "text"), benchmark).where(F.size("items") >= least_items).select("doc_id")
+    return without(docs, digest, bad)
 
 
 _LETTERS = f"translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}')"

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import PLACE, gram_hashes, materialise, mix, row_count, small_batches, span_hashes, spans_of, text_chunks
+from siftline.llm.common import PLACE, gram_hashes, materialise, mix, row_count, small_batches, span_hashes, spans_of, text_chunks, without
 from siftline.llm.components import components
 
 WORDS = 5
@@ -601,6 +601,7 @@ def join(docs: DataFrame, percent: int = PERCENT, count_links: bool = True) -> D
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the least of their component."""
-    gone = join(docs, percent, count_links=False).where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs``, all columns, whose id is the least of their component. Rows that share
+    that id stay, all of them; rows without id stay."""
+    gone = join(docs, percent, count_links=False).where("component_id is not null and doc_id != component_id").select("doc_id")
+    return without(docs, F.col("doc_id"), gone)
