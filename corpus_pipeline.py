@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Defined cases: null and empty texts are scored like others (as is, the classifier rejects them), link
+with nothing, have no passages or secrets, and have no ids; a null id stays null through all stages; rows
+that share an id are judged one by one, but of near duplicates all rows with the least id stay; an empty
+table gives an empty one; columns that the stages don't know are kept up to the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +27,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of two or more benchmark items."""
+    """Documents without a passage of any benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
