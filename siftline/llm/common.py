@@ -16,35 +16,52 @@ _U = np.uint64
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, a local one if driver and
+    executors are one process (tests); executors of a cluster wouldn't find each other's files there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends there, so a lost
-    executor costs a re-read rather than a recomputation. Removed when the driver exits."""
+    executor costs a re-read rather than a recomputation. Removed by ``discard``, or when the driver exits."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/siftline-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` gave. All that was made of them must be written by now."""
+    for table in tables:
+        _remove(table.scratch)
+
 
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(path)
         except Exception:  # the session may already be gone
-            return
-
-    atexit.register(drop)
+            continue
 
 
 #: Rows of an Arrow batch, where texts go to Python: Spark's 10,000 hold tens of MB of texts on both sides.
@@ -59,19 +76,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-#: So many keys of rows to leave out are broadcast (some tens of MB in a hash table); more are shuffled.
+#: So many narrow rows are broadcast (some tens of MB in a hash table); more are shuffled.
 BROADCAST_KEYS = 500_000
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has no more than BROADCAST_KEYS of them."""
+    return F.broadcast(table) if row_count(table) <= BROADCAST_KEYS else table
+
+
 def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose ``key`` isn't among the values of ``gone`` (one column).
     While those are few, every row stays where it is."""
     name = "gone"
     while name in docs.columns:
         name += "_"
-    gone = materialise(gone.toDF(name).distinct())
-    if row_count(gone) <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
+    gone = bounded(materialise(gone.toDF(name).distinct()))
     return docs.join(gone, key.eqNullSafe(F.col(name)), "left_anti")
 
 
@@ -162,11 +182,13 @@ def spans_of(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(mask & ~after) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's bytes (ASCII case ignored if ``fold``), from running sums."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span's bytes (ASCII case ignored if ``fold``), from running sums; ``other``
+    gives one of other values for the bytes."""
     up, down = power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((FOLDED_CODE if fold else BYTE_CODE)[buf] * up[: len(buf)], out=sums[1:])
+    codes = FOLDED_CODE if fold else BYTE_CODE
+    np.cumsum((mix(codes) | _U(1) if other else codes)[buf] * up[: len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

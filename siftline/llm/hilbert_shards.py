@@ -9,7 +9,8 @@ The law that holds is ``rows``: shard sizes differ by one row at most. Order wit
 goes by id, checksum and size, so a value shared by any part of the rows is cut like all others:
 ranges of rows, not of values, are dealt to tasks.
 
-Defined cases: a null text has size 16 and checksum 0; nulls of a dimension come before all values;
+Defined cases: a null text has size 16 and checksum 0; dimensions are of any type that has an order, nulls come
+before all values;
 repeated rows are separate rows; an empty table gives no rows; other columns are ignored.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise
+from siftline.llm.common import discard, materialise
 
 SHARDS = 40
 BITS = 5
@@ -29,14 +30,6 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def ordinal(column: str, kind: str) -> Column:
-    """A long that orders as the column does: strings by their first seven bytes."""
-    value = F.col(column)
-    if kind == "string":
-        value = F.conv(F.rpad(F.hex(F.encode(value, "UTF-8").substr(1, 7)), 14, "0"), 16, 10)
-    return F.coalesce(value.cast("long"), F.lit(-1))
-
-
 def hilbert_index(point: Column, dimensions: int, bits: int) -> Column:
     """Place on the curve of an array of ``dimensions`` ints of ``bits`` bits, as a long.
 
@@ -78,19 +71,38 @@ def hilbert_index(point: Column, dimensions: int, bits: int) -> Column:
     return _let(F.aggregate(steps, point, lambda axes, step: turn(axes, step)), interleave)
 
 
+def cuts(rows: DataFrame, column: str, levels: int) -> tuple[list, bool]:
+    """(the least value of each level of ``column``, ascending; whether nulls take a level before those).
+
+    Values of any orderable type are compared whole. A value's level is its share of the rows before it, counted
+    over all rows: distinct values are dealt in ranges, counts summed within each and offset by those ahead."""
+    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the written table fixes which range a value is in: sampled bounds may differ between runs
+    dealt = materialise(counts.where("v is not null").repartitionByRange(parts, "v").select("v", "n", F.spark_partition_id().alias("part")))
+    total, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col(column).isNull())).first()
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("ahead") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    # at most ``parts`` rows of offsets; at most ``levels`` rows reach the driver
+    whole = max(1, total - nulls)
+    level = F.floor(place * (levels - 1 if nulls else levels) / F.lit(whole)).alias("level")
+    least = dealt.join(F.broadcast(offsets), "part").select("v", level).groupBy("level").agg(F.min("v").alias("v")).orderBy("level").collect()
+    discard(dealt)
+    return [r["v"] for r in least], nulls > 0
+
+
 def with_curve(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """Adds ``hilbert``. Levels are cut at quantiles of all rows (a sketch of fixed size)."""
+    """Adds ``hilbert``. Levels are cut at quantiles of all rows."""
     kinds = dict(rows.dtypes)
-    values = {f"_v{i}": ordinal(c, kinds[c]) for i, c in enumerate(dimensions)}
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = rows.select(*[v.alias(k) for k, v in values.items()]).agg(*[F.percentile_approx(k, shares, 10_000).alias(k) for k in values]).first()
 
     def level(name: str) -> Column:
-        value = values[name]
-        return F.size(F.filter(F.array(*[F.lit(int(x)) for x in sorted({*(cuts[name] or [0])})]), lambda cut: cut < value))
+        least, nulls = cuts(rows, name, 1 << bits)
+        below = F.size(F.filter(F.array(*[F.lit(v).cast(kinds[name]) for v in least]), lambda cut: cut <= F.col(name))) if least else F.lit(0)
+        return F.when(F.col(name).isNull(), 0).otherwise(below - (0 if nulls else 1)).cast("int")
 
-    levels = [level(k) for k in values]
-    return rows.withColumn("hilbert", hilbert_index(F.array(*levels), len(dimensions), bits))
+    return rows.withColumn("hilbert", hilbert_index(F.array(*[level(d) for d in dimensions]), len(dimensions), bits))
 
 
 def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
