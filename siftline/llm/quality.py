@@ -4,9 +4,9 @@ Random Fourier features approximate a Gaussian kernel over statistics of a text;
 from normal equations that are summed by partition; isotonic regression on rows that the weights
 never saw turns their output into a probability.
 
-Learning uses at most ``sample`` labelled rows (those with the smallest hashes of their ids), never
-rows whose crc32(doc_id) mod 4 is 2, and nothing of a row but its text. Scoring is a narrow stage
-over every row and whole texts.
+Learning uses about ``sample`` labelled ids, at most 1.25 times as many (those whose hashes are below a
+threshold; all, where there are no more), never ids whose crc32 mod 4 is 2, and nothing of a row but its text. An id
+on several rows counts once, with the least statistics. Scoring is a narrow stage over every row and whole texts.
 
 Defined cases: null and empty texts have statistics of zero and get a score like any other; rows
 without id or label aren't learnt from; conflicting labels of one id count as their mean; repeated
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, small_batches, span_hashes, spans_of, text_chunks
+from siftline.llm.common import hash_sample, materialise, small_batches, span_hashes, spans_of, text_chunks
 
 SAMPLE = 20_000
 FEATURES = 384
@@ -133,13 +133,11 @@ class Model:
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: mean x and level of each pool, for interpolation between pools.
     Equal x are pooled first; a pool of n labels is drawn towards 1/2 by half a label."""
-    order = np.argsort(x, kind="stable")
+    at, place = np.unique(x, return_inverse=True)
+    count = np.bincount(place, minlength=len(at)).astype(float)
     pools: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        if pools and pools[-1][1] / pools[-1][2] == a:
-            pools[-1] = [pools[-1][0] + b, pools[-1][1] + a, pools[-1][2] + 1]
-        else:
-            pools.append([b, a, 1.0])
+    for b, a, n in zip(np.bincount(place, y, len(at)), at * count, count, strict=True):
+        pools.append([b, a, n])
         while len(pools) > 1 and pools[-2][0] * pools[-1][2] >= pools[-1][0] * pools[-2][2]:
             top = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], top, strict=True)]
@@ -148,33 +146,25 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """fold and label with the statistics of at most ``sample`` texts, from the folds learnt from."""
+    """doc_id, fold, label and the statistics of a bounded number of texts, from the folds learnt from."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    known = (
-        labels.select("doc_id", "quality")
-        .where("doc_id is not null and quality is not null")
-        .where(fold != 2)
-        .groupBy("doc_id")
-        .agg(F.avg("quality").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    # at most ``sample`` ids and labels: the bound on what is broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(materialise(known)), "doc_id").select(fold.alias("fold"), "label", "text")
+    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(fold != 2)
+    known = materialise(hash_sample(known.groupBy("doc_id").agg(F.avg("quality").alias("label")), sample, "doc_id"))
+    # its size is bounded by ``sample``
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", fold.alias("fold"), "label", "text")
 
     def run(batches):
         for b in batches:
-            x = statistics(b.column(2))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["fold", "label", "x"]
-            )
+            x = pa.array(list(statistics(b.column(3))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), x], ["doc_id", "fold", "label", "x"])
 
-    return small_batches(rows).mapInArrow(run, "fold long, label double, x array<double>")
+    found = small_batches(rows).mapInArrow(run, "doc_id long, fold long, label double, x array<double>")
+    return found.groupBy("doc_id", "fold", "label").agg(F.min("x").alias("x"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
-    # repeated ids can make more rows than labels; the hash order bounds those too
-    data = materialise(labelled(docs, labels, sample).limit(4 * sample).repartition(TRAIN_PARTITIONS))
+    rows = labelled(docs, labels, sample).repartition(TRAIN_PARTITIONS, "doc_id").sortWithinPartitions("doc_id")
+    data = materialise(rows.select("fold", "label", "x"))
     rng = np.random.Generator(np.random.PCG64(8))
     frequency = rng.standard_normal((N_STATISTICS, features)) / np.sqrt(N_STATISTICS) * 1.2
     phase = rng.uniform(0, 2 * np.pi, features)
