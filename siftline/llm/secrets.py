@@ -1,14 +1,16 @@
 """Secret scans with a random forest against false positives (operator 5).
 
 Candidates are found by shape, whatever their length: known key formats, quoted values of assignments,
-unquoted ones after secret names, and long runs of key characters that carry digits. Each gets its length, character transitions, the share of it that words of a dictionary cover, features
-of its path (folders and endings that tell, its language) and of the words around it. A forest trained
+unquoted ones after secret names, and long runs of key characters that carry digits. Each gets its length,
+character transitions (between kinds, and how likely those between letters are in the dictionary's words),
+the share of it that words of a dictionary cover, features of its path (folders and endings that tell, its
+language) and of the words around it. A forest trained
 on labelled findings then decides.
 
 The dictionary is the words of a public vocabulary, the same for every corpus (``dictionary``). The path
 of a document is its source, id and language, as the search operators name it (``path_of``).
 
-``Forest.fit`` takes any labelled findings (candidate, left and right context, path, label).
+``learn`` takes a table of labelled findings (candidate, left and right context, path, label).
 ``synthetic_findings`` makes the production set: secrets of documented formats and look-alikes
 (hashes in listings, identifiers, words, numbers), drawn from a fixed seed; so no corpus row is
 learnt from and the model is the same at every size.
@@ -29,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftline.llm.common import small_batches
+from siftline.llm.common import hash_sample, small_batches
 
 THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 40, 9, 3
 MARK = "[SECRET]"
 CONTEXT = 48
+#: Labelled findings learnt from, about.
+FINDINGS = 20_000
 
 #: Published key formats. Fixed values.
 FORMATS = (
@@ -44,7 +48,7 @@ FORMATS = (
     r"sk[-_](?:live[-_]|test[-_]|proj-)?[0-9A-Za-z]{20,}",
     r"AIza[0-9A-Za-z_-]{35}",
     r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}(?:\.[0-9A-Za-z_-]*)?",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s0-9A-Za-z+/=]*-----END [A-Z ]*PRIVATE KEY-----)?",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----)?",
 )
 KNOWN = re.compile("|".join(FORMATS))
 #: ... and any value of a quoted assignment, or a long run of key characters with a digit. Runs have no
@@ -63,7 +67,7 @@ CODE = re.compile(r"\.(?:py|js|ts|go|rs|java|rb|c|cpp|php|sh)$")
 PROSE = re.compile(r"\.(?:en|fr|de|es|md|txt|rst|html)$")
 SHORTEST_WORD, LONGEST_WORD = 4, 16
 
-N_FEATURES = 31
+N_FEATURES = 32
 
 
 def _kind(c: str) -> int:
@@ -82,6 +86,23 @@ def dictionary() -> frozenset[str]:
     return frozenset(w for w in words if re.fullmatch(f"[a-z]{{{SHORTEST_WORD},{LONGEST_WORD}}}", w))
 
 
+@lru_cache(maxsize=2)
+def transitions(words: frozenset[str]) -> list[list[float]]:
+    """Log-likelihood of each letter after each other in ``words``; unseen ones count as seen once."""
+    n = [[1.0] * 26 for _ in range(26)]
+    for w in words:
+        for a, b in zip(w, w[1:], strict=False):
+            n[ord(a) - 97][ord(b) - 97] += 1
+    return [[math.log(x / sum(row)) for x in row] for row in n]
+
+
+def fluency(low: str, words: frozenset[str]) -> float:
+    """Mean log-likelihood of the transitions between plain letters in ``low``; of none, an even draw's."""
+    table = transitions(words)
+    own = [table[ord(a) - 97][ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
+    return sum(own) / len(own) if own else -math.log(26)
+
+
 def coverage(low: str, words: frozenset[str]) -> float:
     """The largest share of ``low`` (small letters) that words without overlaps can cover."""
     best = [0] * (len(low) + 1)
@@ -110,7 +131,8 @@ def features(text: str, left: str, right: str, path: str, words: frozenset[str]
     low = text.lower()
     pairs = [low[i : i + 2] for i in range(len(low) - 1)]
     letters = [p for p in pairs if p.isalpha()]
-    covered = coverage(low, dictionary() if words is None else words)
+    words = dictionary() if words is None else words
+    covered = coverage(low, words)
     longest = max((len(m) for m in re.findall("[a-z]+", low)), default=0)
     digits = max((len(m) for m in re.findall("[0-9]+", low)), default=0)
     before, after = left.lower(), right.lower()
@@ -124,7 +146,7 @@ def features(text: str, left: str, right: str, path: str, words: frozenset[str]
         float(re.fullmatch("[0-9a-f]+", text) is not None), float(re.fullmatch("[0-9a-fA-F-]{36}", text) is not None), float(KNOWN.fullmatch(text) is not None),
         float(len(text) % 4 == 0), float(text.endswith("=")), float(text.count("/") > 1), float(text.count("-") + text.count("_") > 2),
         float(named), float(decoy), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before != ""), float(after[:1] in "\"'" and after != ""),
-        float(len(first[1]) if first else 0), *(float(p.search(where) is not None) for p in (HARMLESS, TELLING, CODE, PROSE)),
+        float(len(first[1]) if first else 0), fluency(low, words), *(float(p.search(where) is not None) for p in (HARMLESS, TELLING, CODE, PROSE)),
     ]
 
 
@@ -260,6 +282,15 @@ def synthetic_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, st
     return out
 
 
+def learn(findings: DataFrame, sample: int = FINDINGS) -> Forest:
+    """A forest from a table of labelled findings: candidate, before, after, path (texts) and label (0, 1). At most
+    1.25 times ``sample`` of them, by the hashes of the candidates; nulls are empty texts, rows without label are left out."""
+    names = ("candidate", "before", "after", "path")
+    rows = hash_sample(findings.where("label is not null"), sample, "candidate", "before").select(*names, "label").collect()
+    rows = sorted((*(r[k] or "" for k in names), int(r["label"])) for r in rows)
+    return Forest.fit(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows]))
+
+
 @lru_cache(maxsize=1)
 def production_forest() -> Forest:
     rows = synthetic_findings()
@@ -292,12 +323,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def find(texts: list[str], paths: list[str], forest: Forest, threshold: float, words: frozenset[str] | None = None) -> list[list[tuple[int, int, float]]]:
-    """Spans and scores of what the forest takes for secrets, text by text."""
+def find(texts: list[str], paths: list[str], forest: Forest, threshold: float, words: frozenset[str] | None = None) -> tuple[list[list[tuple[int, int, float]]], list[int]]:
+    """Spans and scores of what the forest takes for secrets, text by text; how many candidates each has."""
     out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-    where, rows = [], []
+    where, rows, n = [], [], []
     for i, (text, path) in enumerate(zip(texts, paths, strict=True)):
-        for a, b in candidates(text):
+        met = candidates(text)
+        n.append(len(met))
+        for a, b in met:
             where.append((i, a, b))
             rows.append(features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path, words))
     if rows:
@@ -308,6 +341,16 @@ def find(texts: list[str], paths: list[str], forest: Forest, threshold: float, w
                     out[i].append((begin, max(b, end), max(float(s), score)))
                 else:
                     out[i].append((a, b, float(s)))
+    return out, n
+
+
+def byte_spans(text: str, found: list[tuple[int, int, float]]) -> list[dict]:
+    """Spans in order, in bytes; each byte is counted once."""
+    out, at, behind = [], 0, 0
+    for s, e, p in found:
+        begin = behind + len(text[at:s].encode())
+        at, behind = e, begin + len(text[s:e].encode())
+        out.append({"begin": begin, "end": behind, "score": round(p, 9)})
     return out
 
 
@@ -326,12 +369,9 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
     def run(batches):
         for b in batches:
             texts, paths = _columns(b, names)
-            spans = []
-            for text, found in zip(texts, find(texts, paths, shared.value[0], threshold, shared.value[1]), strict=True):
-                at = lambda i, text=text: len(text[:i].encode())
-                spans.append([{"begin": at(s), "end": at(e), "score": round(p, 9)} for s, e, p in found])
-            n = pa.array([len(candidates(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)], ["doc_id", "n_candidates", "n_secrets", "spans"])
+            found, n = find(texts, paths, shared.value[0], threshold, shared.value[1])
+            spans = [byte_spans(*x) for x in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)], ["doc_id", "n_candidates", "n_secrets", "spans"])
 
     return small_batches(docs.select(*names)).mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, spans array<struct<begin:int,end:int,score:double>>")
 
@@ -347,7 +387,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
         for b in batches:
             texts, paths = _columns(b, names)
             old, changed = b.column(text), {}
-            for i, found in enumerate(find(texts, paths, shared.value[0], threshold, shared.value[1])):
+            for i, found in enumerate(find(texts, paths, shared.value[0], threshold, shared.value[1])[0]):
                 if found:
                     t, parts, at = texts[i], [], 0
                     for s, e, _ in found:
