@@ -2,7 +2,7 @@
 
 From every sentence, the run of at least ``RUN`` consecutive sentences that first reaches
 ``LEAST_WORDS`` words is hashed, and so is the run that first does backwards, so that a passage's last
-sentences are covered like its first. The hashes are joined over the whole corpus; sentences covered by any span but the first of its kind are removed. First is the smallest (doc_id, place). A sentence
+sentences are covered like its first. The hashes, of 96 bits, are joined over the whole corpus; sentences covered by any span but the first of its kind are removed. First is the smallest (doc_id, place). A sentence
 of at least ``LONE_WORDS`` words is also a span of its own, so a passage without inner stops isn't
 lost. What decides a span is inside it, so a passage has the same spans wherever it stands.
 
@@ -31,6 +31,7 @@ LONE_WORDS = 30
 #: A span that more than one in ``COMMON`` rows hold is joined by broadcast. There are fewer than
 #: ``COMMON`` such spans however large the table, which bounds what is broadcast.
 COMMON = 2000
+KEY = ["hash", "check"]
 
 _codes = np.arange(256)
 _BLANK = np.isin(_codes, [32, 9, 10, 11, 12, 13])
@@ -59,12 +60,13 @@ def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def spans(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
-    """hash, doc_id, place (first sentence), length (sentences) of every span."""
+    """hash and check (96 bits of the span), doc_id, place (first sentence), length (sentences) of every span."""
 
     def run(batches):
         for b in batches:
             for i, _, buf, offsets in text_chunks(b.column(1)):
-                _, _, rows, words, hashes = sentences(buf, offsets)
+                starts, ends, rows, words, hashes = sentences(buf, offsets)
+                checks = span_hashes(buf, starts, ends, other=True)
                 if not len(rows):
                     continue
                 place = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -83,24 +85,27 @@ def spans(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST_WORDS
                 up, down = power_tables(len(rows) + 1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(rows)], dtype=np.uint64)])
                 run_hashes = mix((sums[until] - sums[whole]) * down[whole] + (until - whole).astype(np.uint64))
+                # a second sum, over other hashes of the sentences
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(checks * up[: len(rows)], dtype=np.uint64)])
+                run_checks = mix((sums[until] - sums[whole]) * down[whole])
                 lone = words >= lone_words
-                for hash_, pick, length in ((run_hashes, whole, until - whole), (hashes[lone], np.flatnonzero(lone), np.ones(int(lone.sum())))):
+                for hash_, check, pick, length in ((run_hashes, run_checks, whole, until - whole), (hashes[lone], checks[lone], np.flatnonzero(lone), np.ones(int(lone.sum())))):
                     if len(pick):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(hash_.view(np.int64)), b.column(0).take(pa.array(rows[pick] + i)), pa.array(place[pick].astype(np.int32)), pa.array(length.astype(np.int32))],
-                            ["hash", "doc_id", "place", "length"],
+                            [pa.array(hash_.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column(0).take(pa.array(rows[pick] + i)), pa.array(place[pick].astype(np.int32)), pa.array(length.astype(np.int32))],
+                            ["hash", "check", "doc_id", "place", "length"],
                         )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "hash long, doc_id long, place int, length int")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "hash long, check int, doc_id long, place int, length int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """doc_id and ``covered``: the sentences under spans that aren't the first of their kind."""
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "place")
-    first = materialise(found.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    first = materialise(found.groupBy(*KEY).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     common = F.col("n") > row_count(found) / COMMON
     few, rest = F.broadcast(first.where(common).drop("n")), first.where(~common).drop("n")
-    met = found.join(few, "hash").unionByName(found.join(few.select("hash"), "hash", "left_anti").join(rest, "hash"))
+    met = found.join(few, KEY).unionByName(found.join(few.select(*KEY), KEY, "left_anti").join(rest, KEY))
     later = met.where(order != F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "length")).alias("covered"))
 
