@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 from siftline.llm.common import hash_sample, materialise, row_count
 
 SAMPLE = 20_000
+#: Rows of the sample for a leaf, at the least: more rows make larger leaves then, searched in more blocks.
+LEAST_SAMPLE = 5
 BRANCH = 8
 LEAF_ROWS = 160
-MAX_LEAVES = 4096
 CALIBRATION = 160
 RECALL = 0.95
 BLOCK = 4096
-#: Leaves that follow each other in the tree are searched together, in so many bundles at most.
-BUNDLES = 64
+#: Leaves that follow each other in the tree are searched together: a bundle for so many rows, 64 at least.
+BUNDLE_ROWS, BUNDLES = 100_000, 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -192,8 +193,8 @@ class Index:
         if self.empty:
             self.rows = rows
             return
-        n = row_count(rows)
-        self.tree = Tree(np.array([r.vec for r in sample]), min(MAX_LEAVES, max(1, n // LEAF_ROWS)))
+        self.n = n = row_count(rows)
+        self.tree = Tree(np.array([r.vec for r in sample]), max(1, min(len(sample) // LEAST_SAMPLE, n // LEAF_ROWS)))
         shared = rows.sparkSession.sparkContext.broadcast(self.tree)
 
         def put(batches):
@@ -229,7 +230,7 @@ class Index:
             return self.rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         shared, visits, k = self.shared, self.visits, self.k
 
-        per = max(1, -(-self.tree.n_leaves // BUNDLES))
+        per = max(1, -(-self.tree.n_leaves // max(BUNDLES, self.n // BUNDLE_ROWS)))
 
         def bins(batches):
             for b in batches:
@@ -247,7 +248,7 @@ class Index:
 
         asked = materialise(self.queries.select("vec_id", "vec").mapInArrow(bins, "query_id long, q array<double>, bundle int, leaves array<int>"))
         held = self.rows.withColumn("bundle", F.floor(F.col("leaf") / F.lit(per)).cast("int"))
-        # one row per bundle, BUNDLES at most: how many blocks each side is cut into
+        # one row per bundle, of which the tree's leaves are the bound: how many blocks each side is cut into
         cut = lambda df, name: df.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
         blocks = F.broadcast(materialise(cut(held, "nv").join(cut(asked, "nq"), "bundle")))
         salt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
