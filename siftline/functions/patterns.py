@@ -4,6 +4,7 @@ literals that every match must hold."""
 from __future__ import annotations
 
 import re
+from re import _parser as sre_parser
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, SparkSession
@@ -71,22 +72,30 @@ class Pattern:
         """All matches, leftmost first, as the printers give them: see ``spans``."""
         return F.transform(self.spans(text), lambda m: m["text"])
 
-    def spans(self, text: Column) -> Column:
-        """array<struct<text, start, end>> with byte offsets. An empty match right behind another
-        match is left out."""
-        parts = F.split(F.regexp_replace(text, F.lit(self.regex), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+    def spans(self, text: Column, replacement: str | None = None) -> Column:
+        """array<struct<text, start, end>> with byte offsets; with a replacement also ``shown``, what would
+        stand there, as made where the match stands. An empty match right behind another match is left out."""
+
+        def cut(by: str) -> Column:
+            return F.split(F.regexp_replace(text, F.lit(self.regex), F.lit(f"{OPEN}{by}{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+
+        kind = "text:string,start:int,end:int,touches:boolean" + ("" if replacement is None else ",shown:string")
+        both = F.struct(cut("$0").alias("p"), *([] if replacement is None else [cut(to_replacement(replacement)).alias("r")]))
+
+        def of(x: Column) -> Column:
+            p = x["p"]
 
-        def of(p: Column) -> Column:
             def at(k: Column) -> Column:
                 before = F.aggregate(F.slice(p, 1, k), F.lit(0), lambda n, x: n + F.octet_length(x))
                 gap = F.get(p, k - 1)
-                return F.struct(F.get(p, k).alias("text"), before.alias("start"), (before + F.octet_length(F.get(p, k))).alias("end"), ((k > 1) & (gap == "")).alias("touches"))
+                return F.struct(F.get(p, k).alias("text"), before.alias("start"), (before + F.octet_length(F.get(p, k))).alias("end"), ((k > 1) & (gap == "")).alias("touches"), *([] if replacement is None else [F.get(x["r"], k).alias("shown")]))
 
-            found = F.when(F.size(p) > 2, F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), at)).otherwise(F.array().cast("array<struct<text:string,start:int,end:int,touches:boolean>>"))
+            found = F.when(F.size(p) > 2, F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), at)).otherwise(F.array().cast(f"array<struct<{kind}>>"))
             kept = F.filter(found, lambda m: ~((m["text"] == "") & m["touches"]))
-            return F.transform(kept, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end")))
+            names = ["text", "start", "end"] + ([] if replacement is None else ["shown"])
+            return F.transform(kept, lambda m: F.struct(*(m[n].alias(n) for n in names)))
 
-        return F.transform(F.array(parts), of)[0]
+        return F.transform(F.array(both), of)[0]
 
     def occurrences(self, text: Column) -> Column:
         """Number of matches; patterns that can match nothing are counted by their spans."""
@@ -95,12 +104,20 @@ class Pattern:
 
 
 def _can_be_empty(regex: str) -> bool:
+    """Whether a match may have no characters; true where that can't be told."""
+    body = re.sub(r"^\(\?[a-zA-Z]+\)", "", regex).replace(r"\z", r"\Z")
+    body = re.sub(r"\\[pP](?:\{\^?\w+\}|\w)", r"\\w", body).replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!")
+    body = re.sub(r"\\k<(\w+)>", r"(?P=\1)", body)
     try:
-        return re.search(re.sub(r"\(\?[a-zA-Z-]+\)", "", regex).replace(r"\z", r"\Z"), "") is not None or bool(re.search(r"[*?]|\{0|\\b|\^|\$|\|", regex))
+        return sre_parser.parse(body).getwidth()[0] == 0
     except re.error:
         return True
 
 
+#: A quantified group that ends in a quantifier itself: backtracking may try it in exponentially many ways.
+_NESTED = re.compile(r"(?:[+*]|\{\d+,\d*\})\)(?:[+*]|\{\d+,\d*\})(?!\+)")
+
+
 def to_java(pattern: str) -> str:
     """The reference dialect in Java's terms: named groups, scripts, POSIX classes."""
     out = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
@@ -122,6 +139,8 @@ def check(pattern: str, options: Options) -> None:
             raise PatternError(f"no group {number} in {pattern!r}")
     if options.engine == "linear" and _BACKTRACKING.search(pattern):
         raise UnsupportedPattern(f"{pattern!r} needs the backtracking engine")
+    if options.engine == "linear" and _NESTED.search(re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "x", pattern, flags=re.S)):
+        raise UnsupportedPattern(f"{pattern!r} repeats a repeated group, which no linear time can be promised for")
     jvm = getattr(SparkSession.getActiveSession(), "_jvm", None)
     try:
         if jvm is not None:

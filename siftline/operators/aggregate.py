@@ -29,6 +29,16 @@ def tally(matches: DataFrame, by: str | Column = "file", top: int = 0) -> DataFr
     return out.limit(top) if top > 0 else out
 
 
+def total(tallied: DataFrame) -> int:
+    """The matches of all keys."""
+    return tallied.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+
+
+def get(tallied: DataFrame, key: str) -> int:
+    """The matches of one key, 0 if it has none."""
+    return total(tallied.where(F.col("key") == key))
+
+
 def summary(docs: DataFrame, p: Pattern, by: str | Column = "file", top: int = 0) -> DataFrame:
     return tally(match_records(docs, p), by, top)
 

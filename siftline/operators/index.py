@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import zlib
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,17 +14,18 @@ from pyspark.sql import functions as F
 
 from siftline.functions.patterns import Pattern
 from siftline.operators.search import matching_lines
+from siftline.sources.stored import children, filesystem, size_of, written
 
 #: Above this drift an amended index is built anew: documents, or an eighth of all.
 DRIFT = 512
-POSTING_PARTITIONS = 64
+#: Folders of postings, how many tasks write them, and into how many parts a folder's rows are dealt: common
+#: trigrams aren't one task's.
+BUCKETS, POSTING_PARTITIONS, SPREAD = 64, 64, 4
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams; none of texts shorter than three."""
-    letters = F.split(text, "")
-    both = F.transform(F.array(letters), lambda a: F.zip_with(F.zip_with(a, F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.concat(x, y)), F.slice(a, F.lit(3), F.greatest(F.size(a) - 2, F.lit(0))), lambda x, y: F.concat(x, y)))[0]
-    return F.array_sort(F.array_distinct(F.filter(both, lambda t: t.isNotNull())))
+    """Distinct character trigrams, in no order; none of texts shorter than three."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -48,7 +51,10 @@ def candidates(index: DataFrame, p: Pattern) -> DataFrame | None:
     tris = needed(p)
     if not tris:
         return None
-    return index.where(F.col("tri").isin(tris)).groupBy("doc_id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(tris)).select("doc_id")
+    rows = index.where(F.col("tri").isin(tris))
+    if "bucket" in index.columns:
+        rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in tris})))
+    return rows.groupBy("doc_id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(tris)).select("doc_id")
 
 
 def search_indexed(docs: DataFrame, index: DataFrame, p: Pattern) -> DataFrame:
@@ -68,61 +74,127 @@ def overlay(base: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
     return base.join(off, "doc_id", "left_anti").unionByName(changed)
 
 
+def _bucket(tri: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(tri, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+
+def _write(docs: DataFrame, found: DataFrame, folder: str) -> None:
+    """Postings in a folder for each bucket of trigrams, so that a search opens those of its own only."""
+    rows = found.withColumn("bucket", _bucket(F.col("tri")))
+    rows.repartition(POSTING_PARTITIONS, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "tri").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    modified = F.col("modified").cast("timestamp") if "modified" in docs.columns else F.lit(None).cast("timestamp")
+    facts = docs.select("doc_id", "path", F.octet_length("body").alias("length"), modified.alias("modified"), F.xxhash64("body").alias("digest"), F.lit(time.time_ns()).alias("added"))
+    facts.write.mode("overwrite").parquet(f"{folder}/docs")
+
+
 def build(docs: DataFrame, path: str) -> None:
-    """Write a new generation and then point the manifest to it: readers see the old or the new."""
+    """Write a new generation, and then its manifest under a number of its own, in one rename: readers
+    take the highest number, so they see the old generation or the new."""
     anchor = time.time_ns()
     generation = f"{path}/gens/{anchor}"
-    postings(docs).repartition(POSTING_PARTITIONS, "tri").sortWithinPartitions("tri", "doc_id").write.parquet(f"{generation}/postings")
-    docs.select("doc_id", "path", F.xxhash64("body").alias("digest")).write.parquet(f"{generation}/docs")
-    _publish(docs.sparkSession, path, {"generation": generation, "anchor_unix_ns": anchor, "schema_version": 1})
+    _write(docs, postings(docs), generation)
+    _publish(docs.sparkSession, path, {"generation": generation, "anchor_unix_ns": anchor, "schema_version": 2})
 
 
 def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
-    line = spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1)
-    line.write.mode("overwrite").text(f"{path}/manifest")
+    name = f"{manifest['anchor_unix_ns']:020d}.json"
+    fs, draft = filesystem(spark, f"{path}/drafts/{name}")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    fs.mkdirs(draft.getParent().getParent().suffix("/manifests"))
+    fs.rename(draft, filesystem(spark, f"{path}/manifests/{name}")[1])
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    """The newest; before any build, one without a generation."""
+    names = children(spark, f"{path}/manifests")
+    if not names:
+        return {"generation": None, "anchor_unix_ns": 0, "schema_version": 2}
+    fs, where = filesystem(spark, f"{path}/manifests/{names[-1]}")
+    source = fs.open(where)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+
+
+def add(batch: DataFrame, path: str, name: str, gone: DataFrame | None = None) -> None:
+    """Postings of arriving documents, and the ids of ``gone`` ones, beside the current generation until
+    the next is built."""
+    folder = f"{path}/deltas/{manifest(batch.sparkSession, path)['anchor_unix_ns']}/{name}"
+    if gone is not None:
+        gone.select("doc_id", F.lit(time.time_ns()).alias("left")).write.mode("overwrite").parquet(f"{folder}/gone")
+    _write(batch, postings(batch), folder)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The generation and what was added to it since."""
+    m = manifest(spark, path)
+    base = f"{path}/deltas/{m['anchor_unix_ns']}"
+    added = [f"{base}/{n}" for n in children(spark, base) if children(spark, f"{base}/{n}/docs")]
+    out = ([m["generation"]] if m["generation"] else []) + added
+    if not out:
+        raise ValueError(f"no index in {path}")
+    return out
+
+
+def _read(spark: SparkSession, path: str, what: str, schema: str) -> DataFrame:
+    parts = [spark.read.schema(schema).parquet(f"{f}/{what}") for f in _folders(spark, path)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(manifest(spark, path)["generation"] + "/postings")
+    """tri, doc_id, bucket of the generation and of what was added since. A document that was indexed again
+    has its old trigrams too: an index may give a document too many, never one too few."""
+    return _read(spark, path, "postings", "tri string, doc_id long, bucket int")
+
+
+def indexed(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, path, length, modified, digest of what is indexed; without documents that have gone since."""
+    rows = _read(spark, path, "docs", "doc_id long, path string, length int, modified timestamp, digest long, added long")
+    gone = [spark.read.schema("doc_id long, left long").parquet(f"{f}/gone") for f in _folders(spark, path) if children(spark, f"{f}/gone")]
+    if gone:
+        last = reduce(DataFrame.unionByName, gone).groupBy("doc_id").agg(F.max("left").alias("left"))
+        rows = rows.join(last, "doc_id", "left").where("left is null or added > left").drop("left")
+    return rows.drop("added")
 
 
 def status(spark: SparkSession, path: str) -> DataFrame:
     m = manifest(spark, path)
-    n = spark.read.parquet(m["generation"] + "/docs").agg(F.count(F.lit(1)).alias("files_indexed"))
+    n = indexed(spark, path).agg(F.count_distinct("doc_id").alias("files_indexed"))
     p = load(spark, path).agg(F.count_distinct("tri").alias("distinct_trigrams"), F.count(F.lit(1)).alias("postings"))
     age = (time.time_ns() - m["anchor_unix_ns"]) / 1e9
-    return n.join(F.broadcast(p)).select(F.lit(1).alias("schema_version"), "*", F.lit(m["anchor_unix_ns"]).alias("anchor_unix_ns"), F.lit(age).alias("age_seconds"))
+    size = sum(size_of(spark, f"{f}/postings") for f in _folders(spark, path))
+    facts = (F.lit(size).cast("long").alias("bytes"), F.lit(m["anchor_unix_ns"]).alias("anchor_unix_ns"), F.lit(age).alias("age_seconds"))
+    return n.join(F.broadcast(p)).select(F.lit(m["schema_version"]).alias("schema_version"), "*", *facts)
 
 
 def drift(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(changed or new documents, ids of gone ones) since the index was built."""
-    spark = docs.sparkSession
-    known = spark.read.parquet(manifest(spark, path)["generation"] + "/docs").select("doc_id", "digest")
-    same = docs.withColumn("digest", F.xxhash64("body")).join(known, ["doc_id", "digest"], "left_anti").drop("digest")
-    return same, known.join(docs.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    """(changed or new documents, ids of gone ones) since the index was built. Documents with the time and
+    length that the index knows are unchanged unread; only others are hashed."""
+    known = indexed(docs.sparkSession, path)
+    rows = docs
+    if "modified" in docs.columns:
+        stamp = known.where("modified is not null").select("doc_id", F.col("modified").alias("_m"), F.col("length").alias("_l")).distinct()
+        same = (docs["doc_id"] == stamp["doc_id"]) & (docs["modified"].cast("timestamp") == F.col("_m")) & (F.octet_length("body") == F.col("_l"))
+        rows = docs.join(stamp, same, "left_anti")
+    digest = known.select("doc_id", "digest")
+    changed = rows.withColumn("digest", F.xxhash64("body")).join(digest, ["doc_id", "digest"], "left_anti").drop("digest")
+    return changed, known.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_anti")
 
 
 def amend(docs: DataFrame, path: str) -> str:
-    """Bring the index up to date: nothing, a delta generation, or a full build if much changed."""
-    spark = docs.sparkSession
+    """Bring the index up to date: nothing, an addition for what changed, or a full build if much did."""
     changed, gone = drift(docs, path)
-    n = changed.count() + gone.count()
+    new, lost = written(changed.select("doc_id")), written(gone)
+    n = new.count() + lost.count()
     if n == 0:
         return "current"
     if n > max(DRIFT, docs.count() // 8):
         build(docs, path)
         return "rebuilt"
-    anchor = time.time_ns()
-    generation = f"{path}/gens/{anchor}"
-    off = changed.select("doc_id").unionByName(gone)
-    fresh = load(spark, path).join(off, "doc_id", "left_anti").select("tri", "doc_id").unionByName(postings(changed))
-    fresh.repartition(POSTING_PARTITIONS, "tri").sortWithinPartitions("tri", "doc_id").write.parquet(f"{generation}/postings")
-    docs.select("doc_id", "path", F.xxhash64("body").alias("digest")).write.parquet(f"{generation}/docs")
-    _publish(spark, path, {"generation": generation, "anchor_unix_ns": anchor, "schema_version": 1})
+    add(docs.join(new, "doc_id", "left_semi"), path, f"amend-{time.time_ns()}", lost)
     return "amended"
 
 
@@ -141,7 +213,7 @@ def staleness(docs: DataFrame, path: str) -> DataFrame:
     """One row: files indexed, stale (changed, new or gone) files, when the index was built."""
     changed, gone = drift(docs, path)
     m = manifest(docs.sparkSession, path)
-    known = docs.sparkSession.read.parquet(m["generation"] + "/docs").agg(F.count(F.lit(1)).alias("files_indexed"))
+    known = indexed(docs.sparkSession, path).agg(F.count_distinct("doc_id").alias("files_indexed"))
     stale = changed.select("doc_id").unionByName(gone).agg(F.count(F.lit(1)).alias("stale_files"))
     return known.join(F.broadcast(stale)).withColumn("built_unix_ns", F.lit(m["anchor_unix_ns"]))  # one row each
 
@@ -153,7 +225,7 @@ def kept(docs: DataFrame, path: str, p: Pattern) -> DataFrame:
     changed, gone = drift(docs, path)
     if not (changed.isEmpty() and gone.isEmpty()):
         return search_fresh(docs, path, p)
-    key = hashlib.sha1(repr((p.regex, p.options, m["anchor_unix_ns"])).encode()).hexdigest()
+    key = hashlib.sha1(repr((p.regex, p.options, m["anchor_unix_ns"], _folders(spark, path))).encode()).hexdigest()
     place = f"{path}/kept/{key}"
     try:
         return spark.read.parquet(place)

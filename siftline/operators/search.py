@@ -73,9 +73,8 @@ def count_matches(docs: DataFrame, p: Pattern, invert: bool = False, max_count:
 def only_matching(docs: DataFrame, p: Pattern, replacement: str | None = None, max_count: int | None = None) -> DataFrame:
     """path, line_number, text, start, end (bytes within the line): one row per match. With a
     replacement, ``text`` is what would stand there instead."""
-    rows = matching_lines(docs, p, max_count=max_count).select("path", "line_number", F.explode(p.spans(F.col("line"))).alias("m"))
-    text = F.col("m.text") if replacement is None else F.regexp_replace("m.text", F.lit(p.regex), F.lit(to_replacement(replacement)))
-    return rows.select("path", "line_number", text.alias("text"), "m.start", "m.end")
+    rows = matching_lines(docs, p, max_count=max_count).select("path", "line_number", F.explode(p.spans(F.col("line"), replacement)).alias("m"))
+    return rows.select("path", "line_number", F.col("m.text" if replacement is None else "m.shown").alias("text"), "m.start", "m.end")
 
 
 def match_records(docs: DataFrame, p: Pattern, invert: bool = False, max_count: int | None = None, before: int = 0, after: int = 0) -> DataFrame:
@@ -189,6 +188,23 @@ def formatted(
     return rows.select(value.alias("value"))
 
 
+def headed(rows: DataFrame, number: bool = True, separator: str = ":") -> DataFrame:
+    """path, seq, value: each file's path at ``seq`` 0 and then its lines without it, at their line numbers;
+    files in groups are for ``orderBy("path", "seq")``."""
+    line = F.concat(F.col("line_number").cast("string"), F.lit(separator), "line") if number else F.col("line")
+    heads = rows.select("path").distinct().select("path", F.lit(0).cast("long").alias("seq"), F.col("path").alias("value"))
+    return heads.unionByName(rows.select("path", F.col("line_number").alias("seq"), line.alias("value")))
+
+
+def within_budget(rows: DataFrame, budget: int) -> DataFrame:
+    """Of rows with ``value``, in their order, as many as ``budget`` bytes hold (a line break each)."""
+    order = [c for c in ("path", "line_number", "seq") if c in rows.columns]
+    # a row has a byte at least: more than ``budget`` rows never fit, and that bounds the one task
+    first = rows.orderBy(*order).limit(budget) if order else rows.limit(budget)
+    used = F.sum(F.octet_length("value").cast("long") + 1).over(Window.orderBy(*(order or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("_used", used).where(F.col("_used") <= budget).drop("_used")
+
+
 def in_order(rows: DataFrame, by: str = "path", reverse: bool = False) -> DataFrame:
     """Rows by path (folder by folder) or by ``modified``, then by line where there are lines."""
     if by not in ("path", "modified"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,16 +63,14 @@ class SearchRequest:
 
     @classmethod
     def from_tool(cls, arguments: dict) -> SearchRequest:
-        """From a tool call's arguments; keys that mean nothing are errors."""
-        known, out = {f.name for f in fields(cls)}, {}
-        for key, value in arguments.items():
-            key = ALIASES.get(key, key)
-            if key in IGNORED:
-                continue
-            if key not in known:
-                raise ValueError(f"unknown option {key!r}")
-            out[key] = tuple(value) if isinstance(value, list) else (value,) if key == "globs" and isinstance(value, str) else value
-        return cls(**out)
+        """From a tool call's arguments; keys that mean nothing are errors. Where a list is meant, one text will do."""
+        given = {ALIASES.get(k, k): v for k, v in arguments.items() if ALIASES.get(k, k) not in IGNORED}
+        unknown = sorted(set(given) - {f.name for f in fields(cls)})
+        if unknown:
+            raise ValueError(f"unknown option {unknown[0]!r}")
+        several = {f.name for f in fields(cls) if f.type.startswith("tuple")}
+        alone = {k: (v,) for k, v in given.items() if k in several and isinstance(v, str)}
+        return cls(**given | {k: tuple(v) for k, v in given.items() if isinstance(v, list)} | alone)
 
     def compiled(self) -> Pattern:
         multi = self.multiline or self.multiline_dotall
@@ -179,8 +178,11 @@ class SearchRequest:
 
 
 def exit_code(request: SearchRequest, docs: DataFrame) -> int:
-    """0 if the request has a match, 1 if it has none. Errors raise."""
-    return 0 if request.exists(docs) else 1
+    """0 if the request has a match, 1 if it has none, 2 if it can't be answered."""
+    try:
+        return 0 if request.exists(docs) else 1
+    except (ValueError, PySparkException):
+        return 2
 
 
 def capabilities() -> dict:

@@ -23,10 +23,10 @@ def continuous_matches(docs: DataFrame, p: Pattern) -> DataFrame:
 
 
 def follow(docs: DataFrame, index_path: str, checkpoint: str):
-    """Keep postings of everything seen under ``index_path``/deltas, a folder per batch (a batch that
-    is run again overwrites its own)."""
+    """Add everything seen to the index, a folder per batch (a batch that is run again overwrites its
+    own); searches by the index find it there. Without a generation, additions are the index."""
 
     def put(batch: DataFrame, number: int) -> None:
-        index.postings(batch).write.mode("overwrite").parquet(f"{index_path}/deltas/{number}")
+        index.add(batch, index_path, f"batch-{number}")
 
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()

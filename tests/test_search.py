@@ -151,7 +151,7 @@ def test_index_lifecycle(spark, tmp_path):
     assert index.amend(new, at) == "amended"
     p = compile_pattern("omega")
     assert [r.path for r in index.search_indexed(new, index.load(spark, at), p).collect()] == [r.path for r in search.matching_lines(new, p).collect()]
-    assert index.load(spark, at).where("doc_id = 3").isEmpty()
+    assert index.indexed(spark, at).where("doc_id = 3").isEmpty() and index.amend(new, at) == "current"
 
 
 def test_sources(spark, tmp_path):
@@ -301,3 +301,85 @@ def test_zstd_of_several_frames(spark, tmp_path):
     (tmp_path / "archive.zst").write_bytes(lead + b"".join(packed))
     got = {r.path.rsplit("/", 1)[1]: r.body for r in corpus.files(spark, str(tmp_path), decompress=True).collect()}
     assert got == {"two.zst": "first line\nsecond line\n", "led.zst": "first line\nsecond line\n", "archive.zst": b"".join(samples[:2]).decode()}
+
+
+def test_replacement_keeps_what_stands_around(spark):
+    docs = corpus.from_texts(spark, {"a": "MIT License, BSD License\nxay\n"})
+    assert [r.text for r in search.only_matching(docs, compile_pattern("(?<=MIT )License"), "X").collect()] == ["X"]
+    assert [(r.text, r.start, r.end) for r in search.only_matching(docs, compile_pattern("(a)(?=y)"), "<$1>").collect()] == [("<a>", 1, 2)]
+
+
+def test_which_patterns_can_be_empty():
+    from siftline.functions.patterns import _can_be_empty
+
+    assert not any(map(_can_be_empty, ["(?d)[a-z]+ing", r"(?dU)\p{Lu}\p{IsLatin}x*", r"(?d)(?<k>a)\k<k>", "(?d)(?<=x)a|b", "(?d)e++r", r"(?d)^ab?$", r"(?d)(?<!\w)(?:the)(?!\w)"]))
+    assert all(map(_can_be_empty, ["(?d)a*", r"(?d)\b", "(?d)(?=x)", "(?d)a|", "(?d)^$", r"(?d)\R"]))
+
+
+def test_nested_quantifiers_are_not_linear(spark):
+    for bad in ("(a+)+", "x(?:[ab]*)*y", "(a{1,}){2,}"):
+        with pytest.raises(UnsupportedPattern):
+            compile_pattern(bad, Options(engine="linear"))
+        compile_pattern(bad)
+    for good in (r"(a\+)+", "[+)]+", "(ab)+", "(a+)?", "(a+)b+"):
+        compile_pattern(good, Options(engine="linear"))
+
+
+def test_requests_from_tools_and_exit_codes(spark, tree):
+    assert SearchRequest.from_tool({"query": "TODO", "types": "py", "glob": "*.py", "paths": ["pkg"]}).files(tree).collect()[0].path == "pkg/d.py"
+    with pytest.raises(ValueError):
+        SearchRequest.from_tool({"query": "x", "nonsense": 1})
+    assert [exit_code(SearchRequest(p), tree) for p in ("TODO", "zzqq", "[abc")] == [0, 1, 2]
+
+
+def test_tally_get_and_total(tree):
+    t = SearchRequest("TODO").summary(tree)
+    assert aggregate.total(t) == 3 and aggregate.get(t, "b.py") == 1 and aggregate.get(t, "none") == 0
+
+
+def test_headings_and_budget(tree):
+    rows = SearchRequest("TODO").lines(tree)
+    shown = [r.value for r in search.headed(rows).orderBy("path", "seq").collect()]
+    assert shown[:2] == ["a.py", "2:    return TODO + TODO"] and len(shown) == 6
+    first = search.headed(rows).orderBy("path", "seq").collect()
+    size = sum(len(r.value) + 1 for r in first[:3])
+    assert [r.value for r in search.within_budget(search.headed(rows), size).orderBy("path", "seq").collect()] == shown[:3]
+    assert search.within_budget(search.headed(rows), 3).isEmpty()
+
+
+def test_followed_documents_are_found(spark, tmp_path):
+    from siftline.streaming import continuous
+
+    spark.createDataFrame([(i, f"words {i} omega\n", "en", "s", 3) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/in")
+    at, p = f"file://{tmp_path}/ix", compile_pattern("omega")
+    for built in (False, True):  # additions alone, and beside a generation
+        if built:
+            index.build(corpus.from_texts(spark, {"z": "older omega\n"}).withColumn("doc_id", F.lit(99).cast("long")), at)
+        stream = continuous.follow(continuous.watch(spark, f"file://{tmp_path}/in", 2), at, f"file://{tmp_path}/cp{built}")
+        stream.processAllAvailable()
+        stream.stop()
+        assert {r.doc_id for r in index.candidates(index.load(spark, at), p).collect()} == set(range(6)) | ({99} if built else set())
+        assert index.status(spark, at).first().files_indexed == 6 + built and index.status(spark, at).first().bytes > 0
+
+
+def test_known_times_and_lengths_are_not_read_again(spark, tmp_path):
+    docs = corpus.from_texts(spark, {f"f{i}": f"text {i}\n" for i in range(8)}).withColumn("modified", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    at = f"file://{tmp_path}/ix"
+    index.build(docs, at)
+    # the same time and length: taken for unchanged; another time: hashed
+    sly = docs.withColumn("body", F.when(F.col("doc_id") == 1, "TEXT 1\n").otherwise(F.col("body")))
+    assert index.drift(sly, at)[0].count() == 0
+    touched = docs.withColumn("modified", F.expr("timestamp'2024-02-02 00:00:00'"))
+    assert index.drift(touched, at)[0].count() == 0
+    assert [r.doc_id for r in index.drift(touched.withColumn("body", F.when(F.col("doc_id") == 1, "TEXT 1\n").otherwise(F.col("body"))), at)[0].collect()] == [1]
+
+
+def test_rank_keeps_its_promises(spark):
+    trees = {"lib/a.py": "def widget():\n    return 1\n", "lib/b.py": "x = widget()\nwidget()\n", "lib/gen/c.py": "def widget(): pass\nwidget widget\nwidget\n", "third_party/d.py": "def widget():\n", "e.txt": "nothing\n", "deep/er/f.py": "y = widget(1)\n"}
+    docs, p = corpus.from_texts(spark, trees), compile_pattern("widget")
+    got = SearchRequest("widget").ranked(docs, 20).collect()
+    assert {r.path for r in got} == {r.path for r in search.files_with(docs, p).collect()} and [r["rank"] for r in got] == list(range(1, len(got) + 1))
+    place = {r.path: r["rank"] for r in got}
+    assert place["lib/a.py"] == 1 and got[0].kind == "def"
+    assert max(place["lib/b.py"], place["deep/er/f.py"]) < min(place["lib/gen/c.py"], place["third_party/d.py"])
+    assert [tuple(r) for r in SearchRequest("widget").ranked(docs, 2).collect()] == [tuple(r) for r in got[:2]]
