@@ -205,3 +205,65 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         total = total + words[i : n + i] * PLACE[i]
     return mix(total)
+
+
+# --- ids that may be in a set ------------------------------------------------------------------
+
+#: A Bloom filter has 16 bits for each id, and at most so many bytes.
+FILTER_BYTES = 32 << 20
+
+
+def bytes_rows(bucket: np.ndarray, *columns: np.ndarray):
+    """Sorted by bucket, cut into one value of bytes per bucket and column."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(edge[1:], len(bucket))
+    return pa.array(bucket[edge].astype(np.int32)), [pa.array([c[order][a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary()) for c in columns]
+
+
+class IdFilter:
+    """A Bloom filter of two bytes an id and FILTER_BYTES at most: the bound of what is sent to
+    executors. It only keeps texts from a shuffle; an exact join follows. Null ids are always let through."""
+
+    CHUNK = 1 << 16
+    HASHES = 4
+
+    @classmethod
+    def places(cls, ids: np.ndarray, n_bytes: int) -> np.ndarray:
+        h = mix(ids.astype(np.int64).view(np.uint64) + PLACE[50])
+        step = mix(h + PLACE[51]) | _U(1)
+        return np.concatenate([(h + _U(k) * step) % _U(8 * n_bytes) for k in range(cls.HASHES)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, ids: DataFrame, n: int) -> np.ndarray:
+        """From a column of about ``n`` longs. Tasks send places by chunk; chunks are joined by tasks too."""
+
+        n_bytes = min(FILTER_BYTES, max(1 << 16, 1 << (2 * n).bit_length()))
+
+        def scatter(batches):
+            for b in batches:
+                at = cls.places(b.column(0).to_numpy(), n_bytes) if len(b) else np.zeros(0, np.int64)
+                if len(at):
+                    chunk, (bits,) = bytes_rows(at // (8 * cls.CHUNK), (at % (8 * cls.CHUNK)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([chunk, bits], ["chunk", "bits"])
+
+        def gather(batches):
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for c, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    held.setdefault(c, np.zeros(8 * cls.CHUNK, bool))[np.frombuffer(bits.as_py(), np.int32)] = True
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["chunk", "bits"])
+
+        out = np.zeros(n_bytes, np.uint8)
+        parts = max(1, n_bytes // cls.CHUNK // 16)
+        for c, bits in ids.mapInArrow(scatter, "chunk int, bits binary").repartition(parts, "chunk").mapInArrow(gather, "chunk int, bits binary").collect():
+            out[c * cls.CHUNK : (c + 1) * cls.CHUNK] = np.frombuffer(bits, np.uint8)
+        return out
+
+    @classmethod
+    def may_have(cls, table: np.ndarray, ids: pa.Array) -> pa.Array:
+        at = cls.places(ids.fill_null(0).to_numpy(), len(table)).reshape(cls.HASHES, -1)
+        found = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
+        return pa.array(found | ids.is_null().to_numpy(zero_copy_only=False))

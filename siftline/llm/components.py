@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, row_count
+from siftline.llm.common import discard, materialise, row_count
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``links`` (u, v).
 
     Large stars hang every greater neighbour on a node's minimum, small stars the lesser ones; a
-    few rounds leave one star a component. Every round is written out."""
+    few rounds leave one star a component. Every round is written out, and then the round before it goes."""
     stars = materialise(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         met = _least_neighbour(down)
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
-        stars = materialise(small.where("u != v").distinct())
+        before, stars = stars, materialise(small.where("u != v").distinct())
+        discard(before)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -7,13 +7,16 @@ before that only keeps pairs away that cannot reach the threshold:
 1. Equal sets are one class; a class is compared once, whatever its number of copies.
 2. A set's partner shares all but a fifth of it (for 0.8). So fragment by fragment, n-grams that no
    other class has are counted; a class that has lost more than its fifth is out. The first pass
-   looks at the head of the order over all classes, the second at the rest over those left.
-3. Of the classes left, n-grams are ordered by how many classes have them. Two sets that can reach
-   the threshold share one of their rarest (prefix filter).
+   looks at the head of the order over all classes, the second at the rest over those left. Both
+   count keys, 24 bits of an n-gram within its fragment: a key that no other class has holds an
+   n-gram that no other class has, so what keys tell never takes a class out that could have links.
+3. Of the classes left, the n-grams of the lower half of all hashes are ordered by how many classes have
+   them, before those of the upper half. Two sets that can reach the threshold share one of their
+   first in that order (prefix filter); few sets need to look beyond the lower half.
 4. Within the bucket of an n-gram all members are compared to one of them, the pivot. Links found
    join components. Members of a bucket that are still in different components are then compared
-   pair by pair, in blocks of bounded size, by parity sketches that bound the difference from below;
-   pairs the sketches can't rule out are counted exactly. Pairs within one component need no count:
+   pair by pair, in blocks of bounded size. Parity sketches bound the difference of a pair from below;
+   pairs they can't rule out are counted exactly. Pairs within one component need no count:
    they can't change it. So copies and near copies cost a star, not all pairs, and no link that
    joins two components is lost.
 5. All links lie within components, so for the number of links all pairs of a component's classes
@@ -21,7 +24,9 @@ before that only keeps pairs away that cannot reach the threshold:
    rows of pairs; its work grows with the square of a component. ``keep_one`` goes without.
 
 Sets travel as bytes; a fragment is read in slices, so what a task holds follows the distinct
-n-grams of its fragment and not how often they occur.
+n-grams of its fragment and not how often they occur. A class is named by 128 bits of its members'
+hashes until the classes left are numbered. Tables in the scratch folder go after their last reader; narrow
+ones (of classes, pairs, components) are broadcast up to ``common.BROADCAST_KEYS`` rows, and shuffled beyond.
 
 Defined cases: null and empty texts, and texts without words, have n_shingles 0 and link with
 nothing; fewer than five words are one shingle; repeated rows are members of one class; a null id
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import PLACE, gram_hashes, materialise, mix, row_count, small_batches, span_hashes, spans_of, text_chunks, without
+from siftline.llm.common import PLACE, IdFilter, bounded, bytes_rows, discard, gram_hashes, materialise, mix, row_count, small_batches, span_hashes, spans_of, text_chunks, without
 from siftline.llm.components import components
 
 WORDS = 5
@@ -54,7 +59,9 @@ BLOCK = 1500
 LINK_BLOCK, LINK_GRAMS, LINK_SLICE, LISTED = 1000, 1_000_000, 4096, 16
 #: Buckets of at most so many members are compared without sketches, in a join's condition.
 SMALL = 48
-FILTER_BYTES = 4 << 20
+#: Bytes of an n-gram within its fragment and of a class, where they are packed.
+KEY_BYTES, CLASS_BYTES = 3, 6
+CLASS_MASK = (1 << 8 * CLASS_BYTES) - 1
 
 _codes = np.arange(256)
 _SEPARATES = np.isin(_codes, [32, 9, 10, 11, 12, 13])
@@ -97,40 +104,66 @@ def _class_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(h ^ PLACE[40]), bounds) + mix(_sums(mix(h + PLACE[41]), bounds)) * PLACE[42])
 
 
+def _class_checks(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 further bits of the names."""
+    return mix(_sums(mix(h ^ PLACE[43]), bounds) + mix(_sums(mix(h + PLACE[44]), bounds)) * PLACE[45])
+
+
+def _narrow(x: np.ndarray, n_bytes: int) -> np.ndarray:
+    """The low bytes of 64-bit values, a row of bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes])
+
+
+def _wide(data: bytes, n_bytes: int) -> np.ndarray:
+    out = np.zeros((len(data) // n_bytes, 8), np.uint8)
+    out[:, :n_bytes] = np.frombuffer(data, np.uint8).reshape(-1, n_bytes)
+    return out.view("<u8").ravel()
+
+
+def _keys(grams: np.ndarray, low: int, high: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fragment and key of n-grams of the order's part from ``low`` to ``high`` (of 256)."""
+    step = _U(-(-((high - low) << 56) // fragments))
+    at = grams - _U(low << 56)
+    key = (at % step * _U(0x9E3779B97F4A7C15)) >> _U(64 - 8 * KEY_BYTES)
+    return (at // step).astype(np.int32), key
+
+
+def _n_keys(rows: np.ndarray, fragment: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct keys each of ``n`` rows has."""
+    # a run of texts has fewer than 2**18 rows, and there are at most 2**20 fragments
+    whole = np.sort(rows.astype(np.uint64) << _U(44) | fragment.astype(np.uint64) << _U(24) | key)
+    new = np.ones(len(whole), bool)
+    new[1:] = whole[1:] != whole[:-1]
+    return np.bincount((whole[new] >> _U(44)).astype(np.int64), minlength=n)
+
+
 def _long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
 class _Packer:
-    """Collects (fragment, 32 bits of an n-gram, class) and gives rows of bytes by fragment."""
-
-    def __init__(self, low: int, high: int, fragments: int, limit: int = 300_000):
-        self.low, self.width, self.fragments, self.limit = _U(low << 56), (high - low) << 56, fragments, limit
-        self.grams: list[np.ndarray] = []
-        self.classes: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, grams: np.ndarray, classes: np.ndarray) -> bool:
-        self.grams.append(grams)
-        self.classes.append(classes)
-        self.size += len(grams)
+    """Collects (fragment, key, class) and gives rows of bytes by fragment."""
+
+    def __init__(self, limit: int = 300_000):
+        self.limit, self.size = limit, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, fragment: np.ndarray, key: np.ndarray, classes: np.ndarray) -> bool:
+        self.held.append((fragment, key, classes))
+        self.size += len(key)
         return self.size >= self.limit
 
     def flush(self):
         if not self.size:
             return None
-        g, c = np.concatenate(self.grams) - self.low, np.concatenate(self.classes)
-        self.grams, self.classes, self.size = [], [], 0
-        step = _U(-(-self.width // self.fragments))
-        f = (g // step).astype(np.int32)
+        f, k, c = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
         order = np.argsort(f, kind="stable")
-        f, c = f[order], c[order]
-        # 32 bits within the fragment: a false match keeps a class that could go, and loses none
-        low = ((g % step)[order] * _U(0x9E3779B97F4A7C15) >> _U(32)).astype(np.uint32)
+        f = f[order]
         edge = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
         ends = np.append(edge[1:], len(f))
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary())
-        return f[edge], cut(low), cut(c)
+        return f[edge], cut(_narrow(k[order], KEY_BYTES)), cut(_narrow(c[order], CLASS_BYTES))
 
 
 _PACKED = "fragment int, grams binary, classes binary, ids binary, sizes binary"
@@ -138,10 +171,10 @@ _PACKED = "fragment int, grams binary, classes binary, ids binary, sizes binary"
 
 def _scan(docs: DataFrame, fragments: int) -> DataFrame:
     """One pass over the texts: n-grams of the head by fragment, and (negative fragments) each
-    document's id, class, size and n-grams in the head."""
+    document's id, class, size and keys in the head."""
 
     def run(batches):
-        packer = _Packer(0, HEAD, fragments)
+        packer = _Packer()
         none = pa.nulls(1, pa.binary())
         end = _U(HEAD << 56)
 
@@ -159,8 +192,10 @@ def _scan(docs: DataFrame, fragments: int) -> DataFrame:
                 bounds = _bounds(rows, j - i)
                 classes, n = _class_ids(h, bounds), np.diff(bounds)
                 head = h < end
-                in_head = np.bincount(rows[head], minlength=j - i)
+                fragment, key = _keys(h[head], 0, HEAD, fragments)
+                in_head = _n_keys(rows[head], fragment, key, j - i)
                 own = ids[i:j].to_pandas().astype("Int64").fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+                own = np.column_stack([own, _class_checks(h, bounds).view(np.int64)])
                 sizes = np.column_stack([n, in_head]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([-1 - int(classes[0] % _U(fragments))], pa.int32()), none, pa.array([classes.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary())],
@@ -170,8 +205,9 @@ def _scan(docs: DataFrame, fragments: int) -> DataFrame:
                 _, once = np.unique(classes, return_index=True)
                 fresh = np.zeros(j - i, bool)
                 fresh[once] = True
-                take = head & fresh[rows]
-                if packer.add(h[take], classes[rows[take]]):
+                of = rows[head]
+                take = fresh[of]
+                if packer.add(fragment[take], key[take], classes[of[take]]):
                     yield from packed()
         yield from packed()
 
@@ -211,24 +247,16 @@ class _Shared:
 
 
 _PARTIAL = "bucket int, classes binary, counts binary, ids binary, sizes binary"
-_COUNTS = "cls long, id long, n int, head int, shared long"
+#: Documents have no ``shared``; counts have nothing but that, and of ``cls`` the low CLASS_BYTES.
+_COUNTS = "cls long, sig long, id long, n int, head int, shared long"
 
 
 def _parts(df: DataFrame, fragments: int) -> int:
     return max(1, min(2 * fragments, max(fragments // 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
 
-def _bytes_rows(bucket: np.ndarray, *columns: np.ndarray):
-    """Sorted by bucket, cut into one value of bytes per bucket and column."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    ends = np.append(edge[1:], len(bucket))
-    return pa.array(bucket[edge].astype(np.int32)), [pa.array([c[order][a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary()) for c in columns]
-
-
 def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
-    """Per class, how many n-grams another class has (``shared``); with each document's row.
+    """Per class, how many keys another class has (``shared``); with each document's row.
 
     Fragments give partial counts, packed by bucket of class; a second shuffle sums them up. Rows
     of documents come out as they are, rows of counts have no id."""
@@ -246,24 +274,24 @@ def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
                 c, n = np.unique(np.concatenate(told), return_counts=True)
                 told.clear()
                 if len(c):
-                    bucket, (classes, count) = _bytes_rows((c % buckets).astype(np.int64), c, n.astype(np.int32))
+                    bucket, (classes, count) = bytes_rows((c % buckets).astype(np.int64), c, n.astype(np.int32))
                     gap = pa.nulls(len(bucket), pa.binary())
                     yield pa.RecordBatch.from_arrays([bucket, classes, count, gap, gap], names)
 
         def settle(f: int):
             grams, classes = zip(*held.pop(f), strict=True)
-            told.append(shared.setdefault(f, _Shared()).meet(np.concatenate(grams).astype(np.uint64), np.concatenate(classes)))
+            told.append(shared.setdefault(f, _Shared()).meet(np.concatenate(grams), np.concatenate(classes)))
 
         for b in batches:
             f, g, c, ids, sizes = (b.column(x) for x in range(5))
             for x, fragment in enumerate(f.to_numpy()):
-                cls = np.frombuffer(c[x].as_py(), np.uint64)
                 if fragment < 0:
-                    own, two = np.frombuffer(ids[x].as_py(), np.int64), np.frombuffer(sizes[x].as_py(), np.int64).reshape(-1, 2)
-                    bucket, (classes, mine, size) = _bytes_rows((cls % buckets).astype(np.int64), cls, own, np.ascontiguousarray(two.astype(np.int32)))
+                    cls = np.frombuffer(c[x].as_py(), np.uint64)
+                    own, two = (np.frombuffer(y[x].as_py(), np.int64).reshape(-1, 2) for y in (ids, sizes))
+                    bucket, (classes, mine, size) = bytes_rows((cls % buckets).astype(np.int64), cls, own, np.ascontiguousarray(two.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([bucket, classes, pa.nulls(len(bucket), pa.binary()), mine, size], names)
                     continue
-                held.setdefault(fragment, []).append((np.frombuffer(g[x].as_py(), np.uint32), cls))
+                held.setdefault(fragment, []).append((_wide(g[x].as_py(), KEY_BYTES), _wide(c[x].as_py(), CLASS_BYTES)))
                 if sum(len(y[1]) for y in held[fragment]) > SLICE:
                     settle(fragment)
                     yield from counts(False)
@@ -288,8 +316,9 @@ def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
                 c = np.frombuffer(classes[x].as_py(), np.uint64)
                 if ids[x].is_valid:
                     two = np.frombuffer(sizes[x].as_py(), np.int32).reshape(-1, 2)
-                    columns = [pa.array(_long(c)), pa.array(np.frombuffer(ids[x].as_py(), np.int64)), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.nulls(len(c), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["cls", "id", "n", "head", "shared"])
+                    own = np.frombuffer(ids[x].as_py(), np.int64).reshape(-1, 2)
+                    columns = [pa.array(_long(c)), pa.array(np.ascontiguousarray(own[:, 1])), pa.array(np.ascontiguousarray(own[:, 0])), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.nulls(len(c), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["cls", "sig", "id", "n", "head", "shared"])
                 else:
                     held.append((c, np.frombuffer(counts[x].as_py(), np.int32)))
                     if sum(len(k) for k, _ in held) > SLICE:
@@ -297,7 +326,7 @@ def _count_shared(packed: DataFrame, fragments: int) -> DataFrame:
                         held.clear()
         cls, n = merged()
         gap = lambda t: pa.nulls(len(cls), t)
-        yield pa.RecordBatch.from_arrays([pa.array(_long(cls)), gap(pa.int64()), gap(pa.int32()), gap(pa.int32()), pa.array(n)], ["cls", "id", "n", "head", "shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(_long(cls)), gap(pa.int64()), gap(pa.int64()), gap(pa.int32()), gap(pa.int32()), pa.array(n)], ["cls", "sig", "id", "n", "head", "shared"])
 
     return packed.repartition(parts, "fragment").mapInArrow(meet, _PARTIAL).repartition(parts, "bucket").mapInArrow(total, _COUNTS)
 
@@ -307,87 +336,45 @@ def _spare(percent: int) -> Column:
     return F.floor(F.col("n") * (100 - percent) / 100)
 
 
-_SETS = "cls long, n int, grams array<long>, sketch binary"
+_SETS = "cls long, sig long, n int, late int, grams array<long>, sketch binary"
 
 
-class _Filter:
-    """A Bloom filter of FILTER_BYTES, whatever the number of ids: the proven bound of what is sent
-    to executors. It only keeps texts from a shuffle; an exact join follows."""
-
-    CHUNK = 1 << 16
-    HASHES = 4
-
-    @classmethod
-    def places(cls, ids: np.ndarray, n_bytes: int) -> np.ndarray:
-        h = mix(ids.astype(np.int64).view(np.uint64) + PLACE[50])
-        step = mix(h + PLACE[51]) | _U(1)
-        return np.concatenate([(h + _U(k) * step) % _U(8 * n_bytes) for k in range(cls.HASHES)]).astype(np.int64)
-
-    @classmethod
-    def of(cls, ids: DataFrame, n_bytes: int) -> np.ndarray:
-        """From a column of longs. Tasks send places by chunk; chunks are joined by tasks too."""
-
-        def scatter(batches):
-            for b in batches:
-                at = cls.places(b.column(0).to_numpy(), n_bytes) if len(b) else np.zeros(0, np.int64)
-                if len(at):
-                    chunk, (bits,) = _bytes_rows(at // (8 * cls.CHUNK), (at % (8 * cls.CHUNK)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([chunk, bits], ["chunk", "bits"])
-
-        def gather(batches):
-            held: dict[int, np.ndarray] = {}
-            for b in batches:
-                for c, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    held.setdefault(c, np.zeros(8 * cls.CHUNK, bool))[np.frombuffer(bits.as_py(), np.int32)] = True
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["chunk", "bits"])
-
-        out = np.zeros(n_bytes, np.uint8)
-        parts = max(1, n_bytes // cls.CHUNK // 16)
-        for c, bits in ids.mapInArrow(scatter, "chunk int, bits binary").repartition(parts, "chunk").mapInArrow(gather, "chunk int, bits binary").collect():
-            out[c * cls.CHUNK : (c + 1) * cls.CHUNK] = np.frombuffer(bits, np.uint8)
-        return out
-
-    @classmethod
-    def has(cls, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        at = cls.places(ids, len(table)).reshape(cls.HASHES, -1)
-        return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
-
-
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of the documents whose id is among ``ids`` (column ``_id``, null among them): cls, n, the set's
-    hashes and its parity sketch: for each of SKETCH_BITS, whether an odd number of members falls
-    there. Two sketches differ in no more places than the sets do.
+def _sets(docs: DataFrame, left: DataFrame, n_left: int, fragments: int) -> DataFrame:
+    """Of the classes ``left`` (cls, sig, rep), from documents whose id is their ``rep``: cls, sig, n, how many keys
+    beyond the head the set has, its hashes and its parity sketch: for each of SKETCH_BITS, whether an odd number of members falls
+    there. Two sketches differ in no more places than the sets do. Repeated ids give repeated rows.
 
     Filter and sets are one Python step: two in one task would be two workers for each core."""
-    table = _Filter.of(ids.where("_id is not null"), FILTER_BYTES)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(IdFilter.of(left.where(F.col("rep") < 2**63 - 1).select("rep"), n_left))
 
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
-            maybe = _Filter.has(shared.value, b.column(0).fill_null(0).to_numpy()) | b.column(0).is_null().to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(maybe))
+            b = b.filter(IdFilter.may_have(shared.value, b.column(0)))
             for i, j, buf, offsets in text_chunks(b.column(1)):
                 rows, h = shingles(buf, offsets)
                 n_rows = j - i
                 bounds = _bounds(rows, n_rows)
+                tail = h >= _U(HEAD << 56)
+                late = _n_keys(rows[tail], *_keys(h[tail], HEAD, 256, fragments), n_rows)
                 odd = np.bincount(rows * SKETCH_BITS + (h % _U(SKETCH_BITS)).astype(np.int64), minlength=n_rows * SKETCH_BITS) & 1
                 bits = np.packbits(odd.astype(np.uint8).reshape(n_rows, SKETCH_BITS), axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_long(h)))
+                names = [pa.array(_long(f(h, bounds))) for f in (_class_ids, _class_checks)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], pa.array(_long(_class_ids(h, bounds))), pa.array(np.diff(bounds).astype(np.int32)), lists, pa.array([x.tobytes() for x in bits], pa.binary())],
-                    ["doc_id", "cls", "n", "grams", "sketch"],
+                    [b.column(0)[i:j], *names, pa.array(np.diff(bounds).astype(np.int32)), pa.array(late.astype(np.int32)), lists, pa.array([x.tobytes() for x in bits], pa.binary())],
+                    ["doc_id", "cls", "sig", "n", "late", "grams", "sketch"],
                 )
 
     likely = small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id long, {_SETS}")
-    return likely.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("doc_id")
+    asked = bounded(left.select(F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("_id")))
+    return likely.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("doc_id")
 
 
 def _pack_sets(sets: DataFrame, low: int, fragments: int) -> DataFrame:
     def run(batches):
-        packer = _Packer(low, 256, fragments)
+        packer = _Packer()
 
         def packed():
             out = packer.flush()
@@ -401,7 +388,7 @@ def _pack_sets(sets: DataFrame, low: int, fragments: int) -> DataFrame:
             grams = lists.flatten().to_numpy().view(np.uint64)
             cls = np.repeat(b.column(0).to_numpy().view(np.uint64), lists.value_lengths().to_numpy())
             late = grams >= _U(low << 56)
-            if packer.add(grams[late], cls[late]):
+            if packer.add(*_keys(grams[late], low, 256, fragments), cls[late]):
                 yield from packed()
         yield from packed()
 
@@ -419,12 +406,34 @@ def _reach(percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """x, y of the pairs that reach the threshold: overlaps of each fragment, summed."""
-    left = pairs.join(parts.withColumnRenamed("cls", "x"), "x").withColumnRenamed("grams", "a").withColumnRenamed("n", "nx")
-    right = parts.withColumnRenamed("cls", "y").withColumnRenamed("grams", "b").withColumnRenamed("n", "ny")
+    """x, y of the pairs (a written table) that reach the threshold: overlaps of each fragment, summed."""
+    asked = materialise(pairs.select(F.col("y").alias("cls")).distinct())
+    left = bounded(pairs).join(parts.withColumnRenamed("cls", "x"), "x").withColumnRenamed("grams", "a").withColumnRenamed("n", "nx")
+    right = parts.join(bounded(asked), "cls", "left_semi").withColumnRenamed("cls", "y").withColumnRenamed("grams", "b").withColumnRenamed("n", "ny")
     partial = left.join(right, ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("a", "b")).cast("long").alias("both"))
     total = partial.groupBy("x", "y").agg(F.sum("both").alias("both"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    return total.where(F.col("both") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+    out = materialise(total.where(F.col("both") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y"))
+    discard(asked)
+    return out
+
+
+def _alike(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Of pairs x, y those that their sketches don't rule out, as a written table."""
+    side = lambda c: info.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b.column(f"s{c}").to_pylist()), np.uint16).reshape(len(b), -1) for c in "xy")
+                both = b.column("nx").to_numpy().astype(np.int64) + b.column("ny").to_numpy()
+                # overlap = (sizes - difference) / 2
+                can = (both - _POPULAR[x ^ y].sum(1, dtype=np.int64)) * (100 + percent) >= 2 * percent * both
+                yield b.select(["x", "y"]).filter(pa.array(can))
+
+    first = materialise(pairs)
+    out = materialise(bounded(first).join(side("x"), "x").join(side("y"), "y").mapInArrow(run, "x long, y long"))
+    discard(first)
+    return out
 
 
 _POPULAR = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -494,66 +503,82 @@ def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def link_counts(roots: DataFrame, sets: DataFrame, weights: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """cls, links: for the classes of all components (node, root), the documents of other classes
-    that reach the threshold with it. ``weights``: cls, weight, its documents."""
-    facts = materialise(roots.withColumnRenamed("node", "cls").join(sets.select("cls", "n", "grams"), "cls").join(weights, "cls"))
+def link_counts(linked: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """cls, links: for the classes of all components (cls, root, weight: its documents), the documents
+    of other classes that reach the threshold with it."""
+    facts = materialise(bounded(linked.select("cls", "root", "weight")).join(sets.select("cls", "n", "grams"), "cls"))
     kinds = facts.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"))
     kinds = materialise(kinds.withColumn("blocks", F.ceil(F.col("m") / LINK_BLOCK).cast("int")))
     groups = 1 + (kinds.where("blocks = 1").agg(F.sum("volume")).first()[0] or 0) // LINK_GRAMS
     # small components share groups; a group of a large one is one block of it
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.col("root"))
-    seats = facts.join(kinds.select("root", "blocks"), "root").withColumn("grp", group).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    seats = facts.join(bounded(kinds.select("root", "blocks")), "root").withColumn("grp", group).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     seats = seats.withColumn("b", F.explode(others)).select("blocks", "grp", "root", "cls", "n", "grams", "weight", "b.i", "b.j", (F.col("own") != F.col("b.i")).cast("int").alias("side"))
     partial = seats.groupBy("blocks", "grp", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "cls long, links long")
-    return partial.groupBy("cls").agg(F.sum("links").alias("links"))
+    out = materialise(partial.groupBy("cls").agg(F.sum("links").alias("links")))
+    discard(facts, kinds)
+    return out
 
 
-def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(documents: id, cls, n; links: x, y between classes; sets of the classes that may have links,
-    None if there are none). The links found connect exactly what
-    all links would connect; pairs within a component that others already join are left out."""
-    bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = _fragments(bulk / 6 * HEAD / 256)
-    counted = materialise(_count_shared(_scan(docs, fragments), fragments))
-    members = counted.where("id is not null").select("id", "cls", "n")
-    whole = counted.groupBy("cls").agg(F.sum("shared").alias("shared"), F.min("id").alias("rep"), F.max("n").alias("n"), F.max("head").alias("head"))
-    left = whole.where((F.col("n") > 0) & (F.coalesce("shared", F.lit(0)) >= F.col("head") - _spare(percent)))
-    left = materialise(left.select("cls", "rep", F.coalesce("shared", F.lit(0)).alias("shared")))
-    none = (members, members.select(F.col("cls").alias("x"), F.col("cls").alias("y")).limit(0), None)
-    if not row_count(left):
-        return none
-    asked = left.select(F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("_id")).distinct()
-    sets = materialise(_sets(docs, asked))
-    fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0)
-    late = _count_shared(_pack_sets(sets, HEAD, fragments), fragments).groupBy("cls").agg(F.sum("shared").alias("late"))
-    sizes = sets.groupBy("cls").agg(F.max("n").alias("n"))
-    stay = left.join(sizes, "cls").join(late, "cls", "left").where(F.col("shared") + F.coalesce("late", F.lit(0)) >= F.col("n") - _spare(percent)).select("cls", "rep")
-    sets = materialise(sets.join(stay, "cls").dropDuplicates(["cls"]))
-
-    # order n-grams by how many classes have them; keep what the prefix filter needs
-    grams = sets.select("cls", F.explode("grams").alias("gram"))
+def _low() -> Column:
+    return F.col("cls").bitwiseAND(CLASS_MASK)
+
+
+def _counts(counted: DataFrame) -> DataFrame:
+    """low (the low bytes of a class's name) and shared."""
+    return counted.where("shared is not null").groupBy(F.col("cls").alias("low")).agg(F.sum("shared").alias("shared"))
+
+
+def _may_link(docs: DataFrame, members: DataFrame, counted: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """(sets of the classes that both passes leave, each once: cls, n, grams, sketch; their names: cls, sig and
+    ``key``, by which they are called ``cls`` in the sets). No sets if there is no such class."""
+    whole = members.where("n > 0").groupBy("cls", "sig").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("head").alias("head"))
+    first = whole.join(_counts(counted), _low() == F.col("low"), "left").where(F.coalesce("shared", F.lit(0)) >= F.col("head") - _spare(percent))
+    left = materialise(first.select("cls", "sig", "rep", "n", "head", F.coalesce("shared", F.lit(0)).alias("shared"), F.monotonically_increasing_id().alias("key")))
+    n_left, n_grams = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not n_left:
+        return None, left
+    fragments = _fragments(n_grams)
+    # the number of a row tells rows of one class apart
+    every = materialise(_sets(docs, left, n_left, fragments).withColumn("row", F.monotonically_increasing_id()))
+    late = _counts(_count_shared(_pack_sets(every, HEAD, fragments), fragments)).withColumnRenamed("shared", "more")
+    rows = every.groupBy("cls", "sig").agg(F.min("row").alias("row"), F.max("late").alias("late"))
+    stay = left.join(rows, ["cls", "sig"]).join(late, _low() == F.col("low"), "left").where(F.col("shared") + F.coalesce("more", F.lit(0)) >= F.col("head") + F.col("late") - _spare(percent))
+    stay = materialise(stay.select("row", "key", "rep"))
+    sets = materialise(every.drop("cls", "sig", "late").join(bounded(stay), "row").drop("row").withColumnRenamed("key", "cls"))
+    discard(every, stay)
+    return sets, left
+
+
+def _order(sets: DataFrame, percent: int) -> DataFrame:
+    """cls, rep, n, sketch, alone (members that surely no other class has) and prefix of the sets that
+    may have links: the members that the prefix filter needs, in the global order."""
+    lower = F.filter("grams", lambda g: g >= 0)
+    grams = sets.select("cls", F.explode(lower).alias("gram"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = grams.join(often, "gram").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("known"))
-    info = sets.select("cls", "rep", "n", "sketch").join(shared, "cls").withColumn("alone", F.col("n") - F.size("known"))
-    prefix = _spare(percent) + 1 - F.col("alone")
-    info = info.withColumn("take", prefix.cast("int")).where("take > 0").withColumn("prefix", F.slice("known", 1, F.col("take"))["gram"]).drop("known", "take")
-    info = materialise(info)
+    most = (_spare(percent) + 1).cast("int")
+    upper = F.slice(F.filter("grams", lambda g: g < 0), F.lit(1), F.greatest(most - F.col("low"), F.lit(0)))
+    rows = sets.withColumn("low", F.size(lower)).select("cls", "rep", "n", "sketch", "low", upper.alias("upper")).join(shared, "cls", "left")
+    known = F.coalesce(F.col("known")["gram"], F.array().cast("array<long>"))
+    rows = rows.withColumn("alone", F.col("low") - F.size(known)).withColumn("take", most - F.col("alone").cast("int")).where("take > 0")
+    return rows.select("cls", "rep", "n", "sketch", "alone", F.slice(F.concat(known, "upper"), F.lit(1), F.col("take")).alias("prefix"))
+
+
+def _stars(info: DataFrame, percent: int) -> DataFrame:
+    """x, y: each member of an n-gram's bucket with the bucket's pivot, where both can reach the threshold."""
     bucket = info.select(F.explode("prefix").alias("gram"), "cls", "rep", "n", "alone")
     pivot = bucket.groupBy("gram").agg(F.min(F.struct("rep", "cls", F.col("n").alias("pn"), F.col("alone").alias("palone"))).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = bucket.join(pivot.select("gram", "p.cls", "p.pn", "p.palone").withColumnRenamed("cls", "y"), "gram")
-    stars = stars.where((F.col("cls") != F.col("y")) & _reach(percent)).select(F.col("cls").alias("x"), "y").distinct()
+    return stars.where((F.col("cls") != F.col("y")) & _reach(percent)).select(F.col("cls").alias("x"), "y").distinct()
 
-    part = lambda k: F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - (PARTS - 1).bit_length()) == k)
-    parts = sets.select("cls", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), part(k).alias("grams")) for k in range(PARTS)])).alias("f")).select("cls", "n", "f.*")
-    parts = materialise(parts.where(F.size("grams") > 0))
-    links = materialise(_verify(stars, parts, percent))
 
-    # buckets that still hold several components
-    roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))) if row_count(links) else None
+def _apart(info: DataFrame, roots: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y: pairs of a bucket's members in different components that nothing rules out; the table they
+    are made of)."""
     lean = info.select("cls", "n", "alone", "sketch", "prefix")
-    lean = lean.join(roots.withColumnRenamed("node", "cls"), "cls", "left") if roots is not None else lean.withColumn("root", F.lit(None).cast("long"))
+    lean = lean.join(bounded(roots.withColumnRenamed("node", "cls")), "cls", "left") if roots is not None else lean.withColumn("root", F.lit(None).cast("long"))
     lean = materialise(lean.withColumn("root", F.coalesce("root", "cls")))
     places = lean.select(F.explode("prefix").alias("gram"), "cls", "root")
     apart = places.groupBy("gram").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("m")).where("r != s")
@@ -569,37 +594,83 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     seats = seats.select("gram", "cls", "own", F.explode(others).alias("b")).select("gram", "cls", "b.i", "b.j", F.when(F.col("own") == F.col("b.i"), 0).otherwise(1).alias("side"))
     more = seats.join(facts, "cls").groupBy("gram", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, percent), "x long, y long").unionByName(few)
-    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    return more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), lean
+
+
+def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """(documents: id, n and their class by cls and sig; numbers of the classes that may have links: cls, sig, key;
+    links: x, y between keys; sets of the numbered classes, None and None if there are none). The links found
+    connect exactly what all links would connect; pairs within a component that others already join are left out."""
+    bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = _fragments(bulk / 6 * HEAD / 256)
+    counted = materialise(_count_shared(_scan(docs, fragments), fragments))
+    members = counted.where("shared is null").select("cls", "sig", "id", "n", "head")
+    sets, left = _may_link(docs, members, counted, percent)
+    members, numbers = members.drop("head"), left.select("cls", "sig", "key")
+    if sets is None:
+        return members, numbers, None, None
+    info = materialise(_order(sets, percent))
+    part = lambda k: F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - (PARTS - 1).bit_length()) == k)
+    parts = sets.select("cls", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), part(k).alias("grams")) for k in range(PARTS)])).alias("f")).select("cls", "n", "f.*")
+    parts = materialise(parts.where(F.size("grams") > 0))
+    stars = _alike(_stars(info, percent), info, percent)
+    links = _verify(stars, parts, percent)
+    # buckets that still hold several components
+    roots = materialise(components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))) if row_count(links) else None
+    more, lean = _apart(info, roots, percent)
     known = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    rest = materialise(_verify(materialise(more.join(known, ["x", "y"], "left_anti")), parts, percent))
-    return members, links.unionByName(rest), sets
+    more = _alike(more.join(known, ["x", "y"], "left_anti"), info, percent)
+    rest = _verify(more, parts, percent)
+    discard(info, lean, parts, stars, more)
+    return members, numbers, links.unionByName(rest), sets
 
 
 def join(docs: DataFrame, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, distinct_texts and, if ``count_links``, n_links (how many other
     rows reach the threshold with it, copies among them) for every row of ``docs``."""
-    members, links, sets = classes(docs, percent)
-    none = F.lit(2**63 - 1)
-    own = F.when(F.col("id") != none, F.col("id"))
-    if not row_count(links):
-        roots = links.select(F.col("x").alias("node"), F.col("y").alias("root"))
-    else:
-        roots = materialise(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))))
+    members, numbers, links, sets = classes(docs, percent)
+    none, name = F.lit(2**63 - 1), ["cls", "sig"]
     # class, then component: the least id is counted class by class before components are joined
-    least = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
-    if count_links:
-        least = materialise(least)
-        counts = link_counts(roots, sets, least.select("cls", "weight"), percent) if sets is not None else least.select("cls", F.lit(0).cast("long").alias("links"))
-        least = least.join(counts, "cls", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
-    least = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    joined = least.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("kinds"))
-    names = least.join(joined, "root").select("cls", "first", "kinds", *(["n_links"] if count_links else []))
-    out = members.join(names, "cls", "left")
+    names = materialise(members.where("n > 0").groupBy(*name).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight")))
+    names = names.withColumns({"kinds": F.lit(1).cast("long"), "n_links": F.col("weight") - 1})
+    if links is not None and row_count(links):
+        roots = materialise(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        each = materialise(numbers.join(names, name).join(roots.withColumnRenamed("node", "key"), "key").select("key", "root", *name, "first", "weight"))
+        whole = each.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("size"))
+        linked = each.join(whole, "root")
+        if count_links:
+            counts = link_counts(each.select(F.col("key").alias("cls"), "root", "weight"), sets, percent)
+            linked = linked.join(counts.withColumnRenamed("cls", "key"), "key", "left")
+        linked = materialise(linked.select(*name, "least", "size", *(["links"] if count_links else [])))
+        discard(each, roots)
+        more = F.coalesce("links", F.lit(0)) if count_links else F.lit(0)
+        names = names.join(bounded(linked), name, "left").select(*name, F.coalesce("least", "first").alias("first"), F.coalesce("size", "kinds").alias("kinds"), (F.col("n_links") + more).alias("n_links"))
+    if sets is not None:
+        discard(sets)
+    out = members.join(names.select(*name, "first", "kinds", "n_links"), name, "left")
+    own = F.when(F.col("id") != none, F.col("id"))
     first = F.when(F.col("n") > 0, F.when(F.col("first") != none, F.col("first"))).otherwise(own)
     counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
     return out.select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), first.alias("component_id"), F.coalesce("kinds", F.lit(1)).alias("distinct_texts"), *counted)
 
 
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_SMALL}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+    c AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS cls FROM s GROUP BY 1),
+    k AS (SELECT cls, min(doc_id) AS rep, count(*) AS weight, any_value(n) AS n FROM c GROUP BY 1),
+    r AS (SELECT rep, g FROM k JOIN s ON s.doc_id = k.rep),
+    o AS (SELECT a.rep AS x, b.rep AS y, count(*) AS common FROM r a JOIN r b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+    l AS (SELECT x, y, q.weight FROM o JOIN k p ON p.rep = x JOIN k q ON q.rep = y WHERE 100 * common >= {PERCENT} * (p.n + q.n - common)),
+    t AS (SELECT rep AS x, rep AS y FROM k UNION SELECT t.x, l.y FROM t JOIN l ON t.y = l.x),
+    m AS (SELECT x, min(y) AS component_id, count(*) AS distinct_texts FROM t GROUP BY 1),
+    e AS (SELECT x, sum(weight) AS others FROM l GROUP BY 1)
+    SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, w.doc_id) AS component_id, coalesce(m.distinct_texts, 1) AS distinct_texts,
+           CAST(coalesce(k.weight - 1, 0) + coalesce(e.others, 0) AS BIGINT) AS n_links
+    FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.cls = c.cls LEFT JOIN m ON m.x = k.rep LEFT JOIN e ON e.x = k.rep"""
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the least of their component. Rows that share
     that id stay, all of them; rows without id stay."""

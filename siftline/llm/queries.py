@@ -63,6 +63,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hilbert_sharding, op3_warc_dictionary, op4_sentencepiece_offsets, op5_secret_forest, op6_winnowing_decontamination, op7_kmeans_tree_ann, op8_quality_rff, op9_prefix_token_counts, op10_sentence_spans)}
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op6_winnowing_decontamination": decontaminate.ORACLE,
     "op3_warc_dictionary": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
