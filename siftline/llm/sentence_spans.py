@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, mix, power_tables, row_count, small_batches, span_hashes, spans_of, text_chunks
+from siftline.llm.common import IdFilter, discard, materialise, mix, power_tables, row_count, small_batches, span_hashes, spans_of, text_chunks
 
 RUN = 2
 LEAST_WORDS = 12
@@ -100,25 +101,37 @@ def spans(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST_WORDS
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """doc_id and ``covered``: the sentences under spans that aren't the first of their kind."""
+    """doc_id and ``covered``: the sentences under spans that aren't the first of their kind (a written table)."""
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "place")
     first = materialise(found.groupBy(*KEY).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     common = F.col("n") > row_count(found) / COMMON
     few, rest = F.broadcast(first.where(common).drop("n")), first.where(~common).drop("n")
     met = found.join(few, KEY).unionByName(found.join(few.select(*KEY), KEY, "left_anti").join(rest, KEY))
     later = met.where(order != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "length")).alias("covered"))
+    out = materialise(later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "length")).alias("covered")))
+    discard(first)
+    return out
 
 
 def deduplicate(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed (byte spans of the whole text) and the text that is left."""
     found = materialise(spans(docs, run_length, least_words, lone_words))
-    marked = repeats(found).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "covered")
+    marked = repeats(found)
+    discard(found)
+    shared = docs.sparkSession.sparkContext.broadcast(IdFilter.of(marked.where("doc_id is not null").select("doc_id"), row_count(marked)))
+    texts = small_batches(docs.select("doc_id", "text"))
+    schema = "doc_id long, n_sentences long, n_removed long, removed array<struct<begin:int,end:int>>, text string"
+
+    def likely(batches):
+        for b in batches:
+            yield b.filter(IdFilter.may_have(shared.value, b.column(0)))
+
+    def others(batches):
+        yield from run(b.filter(pc.invert(IdFilter.may_have(shared.value, b.column(0)))) for b in batches)
 
     def run(batches):
         for b in batches:
-            ids, texts, covered = b.column(0), b.column(1), b.column(2)
+            ids, texts, covered = b.column(0), b.column(1), b.column(2) if b.num_columns > 2 else None
             for i, j, buf, offsets in text_chunks(texts):
                 starts, ends, rows, _, _ = sentences(buf, offsets)
                 bounds = np.searchsorted(rows, np.arange(j - i + 1))
@@ -126,7 +139,7 @@ def deduplicate(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST
                 for r in range(j - i):
                     s, e = starts[bounds[r] : bounds[r + 1]], ends[bounds[r] : bounds[r + 1]]
                     n.append(len(s))
-                    marks = covered[i + r].as_py()
+                    marks = covered[i + r].as_py() if covered is not None else None
                     if not marks:
                         removed.append([])
                         left.append(texts[i + r].as_py())
@@ -144,4 +157,6 @@ def deduplicate(docs: DataFrame, run_length: int = RUN, least_words: int = LEAST
                     ["doc_id", "n_sentences", "n_removed", "removed", "text"],
                 )
 
-    return small_batches(rows).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed array<struct<begin:int,end:int>>, text string")
+    # only texts that may lose something move
+    moved = texts.mapInArrow(likely, "doc_id long, text string").join(marked.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return moved.select("doc_id", "text", "covered").mapInArrow(run, schema).unionByName(texts.mapInArrow(others, schema))
