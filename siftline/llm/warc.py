@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import hash_sample, materialise
+from siftline.llm.common import bounded, hash_sample, materialise
 
 LEAST = 1000
 ARCHIVE_BYTES = 4 << 20
@@ -116,7 +116,8 @@ def train(pages: DataFrame) -> bytes:
 
 def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null in responses). Only digests that occur twice
-    are joined back; a digest shared by any part of the rows is a skewed join, which Spark splits."""
+    are joined back. While those are at most ``common.BROADCAST_KEYS``, payloads stay where they are; beyond that they are
+    shuffled by digest, and a digest shared by any part of the rows is a skewed join, which Spark splits."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     chosen = (
@@ -127,6 +128,7 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
         .where("n > 1 and chosen is not null")
         .drop("n")
     )
+    chosen = bounded(materialise(chosen))
     other = F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen"))
     return rows.join(chosen, "digest", "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("chosen")).alias("refers_to"))
 
