@@ -29,15 +29,21 @@ def shape(line: Column) -> Column:
     return F.substring(line, 1, SHAPE)
 
 
+def best_lines(hits: DataFrame) -> DataFrame:
+    """path, count, width (characters of its matching lines) and ``best`` (use, line_number, line): each file's
+    first declaration or, if it has none, its first match."""
+    use = F.when(F.rlike("line", F.lit(DECLARES)), 0).otherwise(1)
+    best = F.min(F.struct(use.alias("use"), "line_number", "line"))
+    return hits.groupBy("path").agg(F.count(F.lit(1)).alias("count"), best.alias("best"), F.sum(F.length("line") + 1).alias("width"))
+
+
 def ranked(docs: DataFrame, p: Pattern, top: int = 20) -> DataFrame:
     """rank, path, line_number, kind, count, snippet: the best line of each of the best files.
 
     Lines are reduced to one row per matching file. Every signal has few distinct values (densities in
     thousandths, shapes by powers of two of how many files share them), so ranks are places among those values: no
     order over all files is asked for but the last, of which Spark keeps ``top`` rows per task."""
-    hits = matching_lines(docs, p).withColumn("is_def", F.rlike("line", F.lit(DECLARES)))
-    best = F.min(F.struct(F.when(F.col("is_def"), 0).otherwise(1).alias("use"), "line_number", "line"))
-    files = hits.groupBy("path").agg(F.count(F.lit(1)).alias("count"), best.alias("best"), F.sum(F.length("line") + 1).alias("width"))
+    files = best_lines(matching_lines(docs, p))
     where = F.concat_ws("\n", "path", "best.line")
     kind = F.when(F.rlike("path", F.lit(MIRRORED)), "mirror").when(F.rlike(where, F.lit(GENERATED)), "gen").when(F.col("best.use") == 0, "def").otherwise("use")
     files = written(files.select("path", "count", "best.line_number", "best.line", "width", kind.alias("kind"), shape(F.col("best.line")).alias("shape")))

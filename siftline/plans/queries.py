@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.functions.patterns import Options, Pattern, compile_pattern
 from siftline.operators import aggregate, index, lines, rank, search
-from siftline.plans.request import SearchRequest
+from siftline.plans.cursor import Cursor, push
+from siftline.plans.request import SearchRequest, exit_code
 from siftline.sources import corpus
 from siftline.sources.stored import new_folder
 
@@ -222,3 +224,59 @@ LATER = f"WITH {L} SELECT path, line_number, line FROM l WHERE doc_id % 70 <> 3
 with_index("trigram_prefilter_lines", f"WITH {L} SELECT path, line_number, line FROM l WHERE regexp_matches(line, 'token = \"[0-9a-f]+')", lambda d, place: index.search_indexed(d, index.load(d.sparkSession, place), pat('token = "[0-9a-f]+')))
 with_index("stale_index_lines", LATER, lambda d, place: index.search_fresh(later(d), place, TOKEN()))
 register("amended_index_lines", LATER, lambda d: amended(d, own_index(d)))
+
+# --- what is around a search: encodings, preprocessors, budgets, codes, cursors
+
+UPPER = "translate(body, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+def in_utf16(docs: DataFrame) -> DataFrame:
+    """The corpus as bytes with byte-order marks, decoded by them again."""
+    content = F.concat(F.unhex(F.lit("FFFE")), F.encode("body", "UTF-16LE"))
+    return docs.withColumn("content", content).withColumn("body", corpus.decoded("content", "auto"))
+
+
+def as_bytes(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "path", F.encode("body", "UTF-8").alias("content"))
+
+
+def as_text(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("body", corpus.decoded("content"))
+
+
+def codes(docs: DataFrame) -> DataFrame:
+    rows = [(p, exit_code(SearchRequest(p), docs)) for p in ("token", "zzqqzz", "[abc")]
+    return docs.sparkSession.createDataFrame(rows, "pattern string, code int")
+
+
+def pulled(docs: DataFrame) -> DataFrame:
+    """The first 500 paths with a match that a cursor gives, how it ended, and how many a callback took."""
+    rows = SearchRequest("token", fixed=True).files(docs).orderBy("path")
+    with Cursor(rows, max_results=500) as cursor:
+        found = [r.path for r in cursor]
+    taken: list[str] = []
+    why = push(rows, lambda r: taken.append(r.path) or len(taken) == 10)
+    return docs.sparkSession.createDataFrame([(p, cursor.stopped, why, len(taken)) for p in found], "path string, stopped string, pushed string, taken int")
+
+
+TALLY = f"WITH {L}, t AS (SELECT regexp_extract(path, '(\\.[^./]*)$', 1) AS k, count(*) AS n FROM l WHERE {IS_THE} GROUP BY 1)"
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    t = aggregate.summary(docs, pat("the", word=True), "ext")
+    return docs.sparkSession.createDataFrame([(aggregate.total(t), aggregate.get(t, ".fr"), aggregate.get(t, ".none"))], "total long, french long, none long")
+
+
+register("encoded_lines", f"WITH {L} SELECT path, line_number, line FROM l WHERE {HAS}", lambda d: search.matching_lines(in_utf16(d), TOKEN()))
+register("preprocessed_lines", f"WITH {L}, u AS (SELECT path, line_number, {UPPER.replace('body', 'line')} AS line FROM l) SELECT * FROM u WHERE contains(line, 'TOKEN')", lambda d: search.matching_lines(as_text(corpus.transformed(as_bytes(d), bytes.upper)), pat("TOKEN", fixed=True)))
+register("compressed_lines", f"WITH {L} SELECT path, line_number, line FROM l WHERE {HAS}", lambda d: search.matching_lines(as_text(corpus.transformed(corpus.transformed(as_bytes(d), gzip.compress), corpus.unpacked)), TOKEN()))
+register("binary_scope", f"WITH {D} SELECT path FROM d WHERE doc_id % 3 <> 0", lambda d: SearchRequest("x", skip_binary=True).listing(d.withColumn("body", F.when(F.expr("doc_id % 3 = 0"), F.concat("body", F.lit("\0"))).otherwise(F.col("body")))))
+register("unrestricted_scope", f"WITH {D} SELECT path FROM d", lambda d: SearchRequest("x", skip_binary=True, unrestricted=3, ignore_rules=("*.fr",)).listing(d.withColumn("body", F.concat("body", F.lit("\0")))))
+register("exit_codes", f"WITH {L} SELECT 'token' AS pattern, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END AS code FROM l WHERE {HAS} UNION ALL SELECT 'zzqqzz', CASE WHEN count(*) > 0 THEN 0 ELSE 1 END FROM l WHERE contains(line, 'zzqqzz') UNION ALL SELECT '[abc', 2", codes)
+register("output_budget", f"WITH {L}, v AS (SELECT path, line_number, path || ':' || line_number || ':' || line AS value FROM l WHERE {HAS}), b AS (SELECT *, sum(strlen(value) + 1) OVER (ORDER BY path, line_number) AS used FROM v) SELECT path, line_number, value FROM b WHERE used <= 5000", lambda d: search.within_budget(search.matching_lines(d, TOKEN()).select("path", "line_number", F.concat_ws(":", "path", F.col("line_number").cast("string"), "line").alias("value")), 5000))
+register("cursor_and_push", f"WITH {L}, f AS (SELECT DISTINCT path FROM l WHERE {HAS}), k AS (SELECT count(*) AS n FROM f) SELECT path, CASE WHEN n > 500 THEN 'max_results' ELSE 'end' END AS stopped, CASE WHEN n >= 10 THEN 'cancelled' ELSE 'end' END AS pushed, CAST(least(n, 10) AS INT) AS taken FROM f, k ORDER BY path LIMIT 500", pulled)
+register("tally_totals", f"{TALLY} SELECT CAST(sum(n) AS BIGINT) AS total, coalesce(CAST(sum(n) FILTER (k = '.fr') AS BIGINT), 0) AS french, CAST(0 AS BIGINT) AS \"none\" FROM t", totals)
+register("sort_modified", f"WITH {D} SELECT path FROM d", lambda d: search.in_order(d.withColumn("modified", F.timestamp_seconds(F.col("doc_id") % 1000)), "modified", reverse=True).select("path"))
+register("max_results", f"WITH {L} SELECT least(count(*), 7) AS n FROM l WHERE {HAS}", lambda d: SearchRequest("token", fixed=True, max_results=7).lines(d).agg(F.count(F.lit(1)).alias("n")))
+register("best_lines", f"WITH {L}, h AS (SELECT path, line_number, line, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN regexp_matches(line, '{rank.DECLARES}') THEN 0 ELSE 1 END, line_number) AS r, count(*) OVER (PARTITION BY path) AS n FROM l WHERE {HAS}) SELECT path, line_number, line, n FROM h WHERE r = 1", lambda d: rank.best_lines(search.matching_lines(d, TOKEN())).select("path", "best.line_number", "best.line", F.col("count").alias("n")))
+with_index("index_status", f"WITH {TRI} SELECT (SELECT count(*) FROM d) AS files_indexed, count(DISTINCT tri) AS distinct_trigrams, count(*) AS postings, true AS has_bytes FROM t", lambda d, place: index.status(d.sparkSession, place).select("files_indexed", "distinct_trigrams", "postings", (F.col("bytes") > 0).alias("has_bytes")))

@@ -51,6 +51,7 @@ class SearchRequest:
     crlf: bool = False
     null_data: bool = False
     skip_binary: bool = False
+    unrestricted: int = 0  # 1 heeds no ignore rules, 2 takes hidden files too, 3 binary ones too
     sort: str | None = None
     reverse: bool = False
     max_results: int | None = None
@@ -89,9 +90,9 @@ class SearchRequest:
                 chosen = globs
         if self.paths:
             test = test & F.rlike(path, F.lit("|".join(f"^\\Q{p.removeprefix('./').rstrip('/')}\\E(?:/|$)" for p in self.paths)))
-        if not self.hidden and not self.types:
+        if not self.hidden and self.unrestricted < 2 and not self.types:
             test = test & (chosen | ~paths.is_hidden(path))
-        if (self.ignore_rules or self.ignore_tree) and not self.no_ignore:
+        if (self.ignore_rules or self.ignore_tree) and not self.no_ignore and not self.unrestricted:
             tree = {folder: list(rules) for folder, rules in self.ignore_tree}
             tree[""] = tree.get("", []) + list(self.ignore_rules)  # rules given by hand outrank the root's files
             test = test & (chosen | ~paths.ignored(path, tree))
@@ -109,7 +110,7 @@ class SearchRequest:
             test = test & (paths.depth(path) <= self.max_depth)
         if self.max_size is not None:
             test = test & (F.octet_length("body") <= self.max_size)
-        if self.skip_binary:
+        if self.skip_binary and self.unrestricted < 3:
             test = test & ~F.contains("body", F.lit("\0"))
         return docs.where(test)
 

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from siftline.functions import paths
 
-#: Ignore files from the weakest to the strongest, and the most rules that a tree may hold: they
-#: become one expression on the driver.
-IGNORE_FILES, MOST_RULES = (".gitignore", ".ignore", ".rgignore"), 10_000
+#: Ignore files from the weakest to the strongest (a repository's own excludes are the weakest of all), and
+#: the most rules that a tree may hold: they become one expression on the driver.
+EXCLUDES = ".git/info/exclude"
+IGNORE_FILES, MOST_RULES = (EXCLUDES, ".gitignore", ".ignore", ".rgignore"), 10_000
 DOC = "doc_id long, path string, body string"
+LZ4 = b"\x04\x22\x4d\x18"
 ZSTD, DICTIONARY_MAGIC = b"\x28\xb5\x2f\xfd", 0x184D2A5D
 SPARK_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32"}
 
@@ -55,22 +57,30 @@ def files(spark: SparkSession, *roots: str, encoding: str = "utf-8", max_size: i
         chosen = paths.in_globs(F.col("path"), list(pre_globs)) if pre_globs else F.lit(True)
         named = transformed(raw.where(chosen), pre) if pre else raw.where(F.lit(False))
         rest = raw.where(~chosen) if pre else raw
-        raw = (transformed(rest, _unpacked) if decompress else rest).unionByName(named)
+        if decompress:  # Brotli has no mark at its beginning: its name tells
+            is_brotli = F.endswith("path", F.lit(".br"))
+            rest = transformed(rest.where(~is_brotli), unpacked).unionByName(transformed(rest.where(is_brotli), _by_arrow("brotli")))
+        raw = rest.unionByName(named)
     rows = raw.select("path", decoded("content", encoding).alias("body"), F.col("modificationTime").alias("modified"))
     if binary == "skip":
         rows = rows.where(F.instr("body", "\0") == 0)
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "body", "modified")
 
 
-def ignore_tree(docs: DataFrame) -> tuple[tuple[str, tuple[str, ...]], ...]:
+def ignore_tree(docs: DataFrame, vcs: bool = True, dot: bool = True, exclude: bool = True, everywhere: tuple[str, ...] = ()) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """Folders and their rules from the ignore files among the documents, for a request's
-    ``ignore_tree``. Raises beyond ``MOST_RULES`` rules."""
-    name = paths.basename(F.col("path"))
-    rules = docs.where(name.isin(*IGNORE_FILES)).select(paths.dirname(F.col("path")).alias("folder"), name.alias("name"), F.posexplode(F.split("body", r"\r?\n")).alias("at", "rule"))
+    ``ignore_tree``: .gitignore if ``vcs``, .ignore and .rgignore if ``dot``, repositories' excludes if ``exclude``
+    (and ``vcs``). Rules that hold ``everywhere`` are weaker than any file's. Raises beyond ``MOST_RULES`` rules."""
+    own = F.regexp_extract("path", r"^(?:(.*)/)?\.git/info/exclude$", 1)
+    is_own = F.rlike("path", F.lit(r"(?:^|/)\.git/info/exclude$"))
+    name = F.when(is_own, EXCLUDES).otherwise(paths.basename(F.col("path")))
+    folder = F.when(is_own, own).otherwise(paths.dirname(F.col("path")))
+    wanted = [n for n in IGNORE_FILES if (vcs and exclude if n == EXCLUDES else vcs if n == ".gitignore" else dot)]
+    rules = docs.where(name.isin(*wanted)).select(folder.alias("folder"), name.alias("name"), F.posexplode(F.split("body", r"\r?\n")).alias("at", "rule"))
     found = rules.where("trim(rule) <> '' AND NOT startswith(rule, '#')").limit(MOST_RULES + 1).collect()
     if len(found) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} ignore rules")
-    tree: dict[str, list[str]] = {}
+    tree: dict[str, list[str]] = {"": list(everywhere)} if everywhere else {}
     for r in sorted(found, key=lambda r: (r.folder, IGNORE_FILES.index(r.name), r["at"])):
         tree.setdefault(r.folder, []).append(r.rule)
     return tuple((k, tuple(v)) for k, v in tree.items())
@@ -102,13 +112,15 @@ def decoded(column: str, encoding: str = "utf-8"):
     return decode(content)
 
 
-def _unpacked(data: bytes) -> bytes:
+def unpacked(data: bytes) -> bytes:
     for magic, unpack in ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ\0", lzma.decompress), (b"]\0\0", lzma.decompress), (b"\x78", zlib.decompress)):
         if data.startswith(magic):
             try:
                 return unpack(data)
             except (OSError, zlib.error, lzma.LZMAError):
                 return data
+    if data.startswith(LZ4):
+        return _by_arrow("lz4")(data)
     if data.startswith(ZSTD) or _skippable(data):
         import zstandard
 
@@ -128,6 +140,20 @@ def _unpacked(data: bytes) -> bytes:
     return data
 
 
+def _by_arrow(codec: str) -> Callable[[bytes], bytes]:
+    """Unpacks what Arrow has a codec for; what isn't such data is passed on."""
+
+    def unpack(data: bytes) -> bytes:
+        import pyarrow as pa
+
+        try:
+            return pa.CompressedInputStream(pa.BufferReader(data), codec).read()
+        except OSError:
+            return data
+
+    return unpack
+
+
 def _skippable(data: bytes) -> bool:
     return len(data) >= 8 and 0x50 <= data[0] <= 0x5F and data[1:4] == b"\x2a\x4d\x18"
 

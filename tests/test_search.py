@@ -383,3 +383,28 @@ def test_rank_keeps_its_promises(spark):
     assert place["lib/a.py"] == 1 and got[0].kind == "def"
     assert max(place["lib/b.py"], place["deep/er/f.py"]) < min(place["lib/gen/c.py"], place["third_party/d.py"])
     assert [tuple(r) for r in SearchRequest("widget").ranked(docs, 2).collect()] == [tuple(r) for r in got[:2]]
+
+
+def test_ignore_sources(spark):
+    docs = corpus.from_texts(spark, {".git/info/exclude": "*.log\n", "sub/.gitignore": "!keep.log\n*.tmp\n", ".ignore": "*.bak\n", "a.log": "x", "sub/keep.log": "x", "sub/a.tmp": "x", "b.bak": "x", "c.txt": "x", "d.glob": "x"})
+    def seen(tree, **more):
+        return {r.path for r in SearchRequest("x", ignore_tree=tree, **more).listing(docs).collect()}
+    plain = {"sub/keep.log", "c.txt", "d.glob"}
+    assert seen(corpus.ignore_tree(docs)) == plain
+    assert seen(corpus.ignore_tree(docs, everywhere=("*.glob",))) == plain - {"d.glob"}
+    assert seen(corpus.ignore_tree(docs, exclude=False)) == plain | {"a.log"}
+    assert seen(corpus.ignore_tree(docs, vcs=False)) == plain | {"a.log", "sub/a.tmp"}
+    assert seen(corpus.ignore_tree(docs, dot=False)) == plain | {"b.bak"}
+    assert len(seen(corpus.ignore_tree(docs), unrestricted=1)) == 6 and len(seen(corpus.ignore_tree(docs), unrestricted=2)) == 9
+
+
+def test_lz4_and_brotli(spark, tmp_path):
+    import pyarrow as pa
+
+    for codec, name in (("lz4", "a.lz4"), ("brotli", "b.txt.br")):
+        sink = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(sink, codec) as out:
+            out.write(b"needle\n")
+        (tmp_path / name).write_bytes(sink.getvalue().to_pybytes())
+    (tmp_path / "plain.br").write_bytes(b"not packed\n")
+    assert sorted(r.body for r in corpus.files(spark, f"file://{tmp_path}", decompress=True).collect()) == ["needle\n", "needle\n", "not packed\n"]
