@@ -116,10 +116,10 @@ class Normaliser:
             at += hit[0]
         end = len(data)
         if self.squeeze:
-            while parts and not parts[0][0].strip(b" "):
-                parts.pop(0)
-            while parts and not parts[-1][0].strip(b" "):
-                end = parts.pop()[1]
+            lead = 0
+            while lead < len(parts) and parts[lead][0] == b" ":
+                lead += 1
+            del parts[:lead]
         mark = MARK if self.escape else b" "
         out, origin, blank = bytearray(), [], self.squeeze
         if parts and self.dummy_prefix:
@@ -133,7 +133,7 @@ class Normaliser:
             if text:
                 blank = text.endswith(b" ") and self.squeeze
         if self.squeeze:
-            while out.endswith(mark) and len(out) > len(mark):
+            while out.endswith(mark):
                 del out[-len(mark) :]
                 end = min(end, origin[-1])
                 del origin[-len(mark) :]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -244,7 +245,7 @@ def test_character_map():
     b_at = 512 ^ ord("b")
     units[b_at] = ord("b") | off(b_at, 700) | 1 << 8
     units[700] = 3 | 1 << 31
-    import struct
+
 
     m = sentencepieces.CharacterMap(struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + texts)
     assert m.longest(b"abc", 0) == (2, b"z") and m.longest(b"ac", 0) == (1, b"xy") and m.longest(b"c", 0) is None
@@ -255,6 +256,67 @@ def test_character_map():
     assert origin.tolist() == [2, 2, 2, 2, 4, 4, 4, 6, 6, 7, 7, 7, 8, 8, 10]
 
 
+def character_map(pairs):
+    """A compiled map: every node of the trie has 256 units of its own."""
+    trie = {}
+    for k, v in pairs.items():
+        node = trie
+        for b in k.encode():
+            node = node.setdefault(b, {})
+        node[-1] = v
+    texts, places = b"", {}
+    for v in dict.fromkeys(pairs.values()):
+        places[v] = len(texts)
+        texts += v.encode() + b"\0"
+    units, todo = [0] * 256, [(0, trie)]
+    while todo:
+        at, node = todo.pop()
+        base = len(units)
+        units += [0] * 256
+        units[at] |= (at ^ base) << 10 | (1 << 8 if -1 in node else 0)
+        if -1 in node:
+            units[base] = places[node[-1]] | 1 << 31
+        for b, child in node.items():
+            if b >= 0:
+                units[base ^ b] |= b
+                todo.append((base ^ b, child))
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + texts
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def with_map(model, blob, squeeze):
+    """The model's fields again, its normaliser replaced."""
+    out = b""
+    spec = b"\x0a\x03own" + b"\x12" + varint(len(blob)) + blob + b"\x18\x01" + b"\x20" + bytes([squeeze]) + b"\x28\x01"
+    for k, v in sentencepieces.wire_fields(model):
+        v = spec if k == 3 else v
+        out += varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_spans_through_a_map_are_the_librarys(tmp_path, squeeze):
+    pairs = {"ﬁ": "fi", "Ａ": "A", "Ｂ": "B", "é": "e", "e\u0301": "e", "\t": " ", "\n": " ", "  ": " ", "½": "1/2", "ab": "", "abc": "x"}
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        path = tmp_path / "own.model"
+        path.write_bytes(with_map(f.read(), character_map(pairs), squeeze))
+    c, r, met = sentencepieces.codec(str(path)), random.Random(squeeze), 0
+    for _ in range(1500):
+        text = "".join(r.choice([*pairs, " ", "a", "the ", "word", "日"]) for _ in range(r.randint(0, 25)))
+        ids = c.encode([text])[0]
+        if not any(c.library.is_byte(i) for i in ids):  # the library gives a character's bytes to its last piece
+            assert [x.tolist() for x in c.spans(text, ids)] == [x.tolist() for x in c.library_spans(text)], text
+            met += 1
+    assert met > 1000
+
+
 def test_sentencepiece(spark, edge, docs, nothing):
     from sentencepiece import SentencePieceProcessor
 
