@@ -36,7 +36,6 @@ gets its row's size, and the component of its class (null if no member has an id
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +53,9 @@ SLICE = 1_000_000
 PARTS = 8
 SKETCH_BITS = 1024
 BLOCK = 1500
-#: Classes on a side of a block that counts links, n-grams of small components counted in one group,
-#: n-grams of a slice of its matrix, and up to how many holders an n-gram's pairs are listed instead.
-LINK_BLOCK, LINK_GRAMS, LINK_SLICE, LISTED = 1000, 1_000_000, 4096, 16
+#: Classes and n-grams (about) on a side of a block that counts links, n-grams of small components counted in
+#: one group, n-grams of a slice of its matrix, and up to how many holders an n-gram's pairs are listed instead.
+LINK_BLOCK, BLOCK_GRAMS, LINK_GRAMS, LINK_SLICE, LISTED = 1000, 4_000_000, 1_000_000, 4096, 16
 #: Buckets of at most so many members are compared without sketches, in a join's condition.
 SMALL = 48
 #: Bytes of an n-gram within its fragment and of a class, where they are packed.
@@ -194,7 +193,7 @@ def _scan(docs: DataFrame, fragments: int) -> DataFrame:
                 head = h < end
                 fragment, key = _keys(h[head], 0, HEAD, fragments)
                 in_head = _n_keys(rows[head], fragment, key, j - i)
-                own = ids[i:j].to_pandas().astype("Int64").fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+                own = ids[i:j].fill_null(np.iinfo(np.int64).max).to_numpy()
                 own = np.column_stack([own, _class_checks(h, bounds).view(np.int64)])
                 sizes = np.column_stack([n, in_head]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -439,26 +438,30 @@ def _alike(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 _POPULAR = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def _block_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _longs(block: pa.Table, name: str) -> np.ndarray:
+    return block.column(name).to_numpy().astype(np.int64)
+
+
+def _block_pairs(block: pa.Table, percent: int) -> pa.Table:
     """Pairs across the two sides of a block, of different roots, that nothing rules out."""
-    a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
+    cls, n, alone, root, side = (_longs(block, c) for c in ("cls", "n", "alone", "root", "side"))
+    sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(len(cls), -1)
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     own = not len(b)
     b = a if own else b
-    out = []
-    sa = np.frombuffer(b"".join(a.sketch), np.uint16).reshape(len(a), -1)
-    sb = np.frombuffer(b"".join(b.sketch), np.uint16).reshape(len(b), -1)
-    na, nb, fa, fb, ra, rb = (d[c].to_numpy(np.int64) for c in ("n", "alone", "root") for d in (a, b))
-    for i in range(len(a)):
-        both = na[i] + nb
-        can = (ra[i] != rb) & (np.minimum(na[i] - fa[i], nb - fb) * (100 + percent) >= percent * both)
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, i in enumerate(a):
+        both = n[i] + n[b]
+        can = (root[i] != root[b]) & (np.minimum(n[i] - alone[i], n[b] - alone[b]) * (100 + percent) >= percent * both)
         if own:
-            can[: i + 1] = False
+            can[: at + 1] = False
         js = np.flatnonzero(can)
-        differ = _POPULAR[sa[i] ^ sb[js]].sum(1)
+        differ = _POPULAR[sketch[i] ^ sketch[b[js]]].sum(1, dtype=np.int64)
         # overlap = (sizes - difference) / 2
         js = js[(both[js] - differ) * (100 + percent) >= 2 * percent * both[js]]
-        out.append(pd.DataFrame({"x": np.full(len(js), a.cls.iat[i]), "y": b.cls.to_numpy()[js]}))
-    return pd.concat(out) if out else pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64)})
+        x.append(np.full(len(js), cls[i]))
+        y.append(cls[b[js]])
+    return pa.table({"x": np.concatenate(x), "y": np.concatenate(y)})
 
 
 def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
@@ -488,19 +491,23 @@ def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _block_links(block: pa.Table, percent: int) -> pa.Table:
     """Per class of a block, how many documents of its other classes (of the other side, if the block
     has two) are linked to it; components apart."""
-    out = []
-    for _, one in pdf.groupby("root", sort=False):
-        n, side, weight = (one[c].to_numpy(np.int64) for c in ("n", "side", "weight"))
-        both = _overlaps([np.asarray(x, np.int64) for x in one.grams]).astype(np.int64)
-        linked = both * (100 + percent) >= percent * (n[:, None] + n[None, :])
-        if one.i.iat[0] != one.j.iat[0]:
-            linked &= side[:, None] != side[None, :]
+    cls, n, side, weight, root = (_longs(block, c) for c in ("cls", "n", "side", "weight", "root"))
+    lists = block.column("grams").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(n)
+    two = len(cls) > 0 and block.column("i")[0] != block.column("j")[0]
+    links = np.zeros(len(cls), np.int64)
+    order = np.argsort(root, kind="stable")
+    for one in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        both = _overlaps([flat[ends[k] - n[k] : ends[k]] for k in one]).astype(np.int64)
+        linked = both * (100 + percent) >= percent * (n[one][:, None] + n[one][None, :])
+        if two:
+            linked &= side[one][:, None] != side[one][None, :]
         np.fill_diagonal(linked, False)
-        out.append(pd.DataFrame({"cls": one.cls.to_numpy(), "links": linked @ weight}))
-    return pd.concat(out)
+        links[one] = linked @ weight[one]
+    return pa.table({"cls": cls, "links": links})
 
 
 def link_counts(linked: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -508,14 +515,15 @@ def link_counts(linked: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     of other classes that reach the threshold with it."""
     facts = materialise(bounded(linked.select("cls", "root", "weight")).join(sets.select("cls", "n", "grams"), "cls"))
     kinds = facts.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"))
-    kinds = materialise(kinds.withColumn("blocks", F.ceil(F.col("m") / LINK_BLOCK).cast("int")))
+    blocks = F.greatest(F.ceil(F.col("m") / LINK_BLOCK), F.ceil(F.col("volume") / BLOCK_GRAMS)).cast("int")
+    kinds = materialise(kinds.withColumn("blocks", blocks))
     groups = 1 + (kinds.where("blocks = 1").agg(F.sum("volume")).first()[0] or 0) // LINK_GRAMS
     # small components share groups; a group of a large one is one block of it
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.col("root"))
     seats = facts.join(bounded(kinds.select("root", "blocks")), "root").withColumn("grp", group).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     seats = seats.withColumn("b", F.explode(others)).select("blocks", "grp", "root", "cls", "n", "grams", "weight", "b.i", "b.j", (F.col("own") != F.col("b.i")).cast("int").alias("side"))
-    partial = seats.groupBy("blocks", "grp", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "cls long, links long")
+    partial = seats.groupBy("blocks", "grp", "i", "j").applyInArrow(lambda block: _block_links(block, percent), "cls long, links long")
     out = materialise(partial.groupBy("cls").agg(F.sum("links").alias("links")))
     discard(facts, kinds)
     return out
@@ -593,7 +601,7 @@ def _apart(info: DataFrame, roots: DataFrame | None, percent: int) -> tuple[Data
     seats = seats.where(F.col("m") > SMALL).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     seats = seats.select("gram", "cls", "own", F.explode(others).alias("b")).select("gram", "cls", "b.i", "b.j", F.when(F.col("own") == F.col("b.i"), 0).otherwise(1).alias("side"))
-    more = seats.join(facts, "cls").groupBy("gram", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, percent), "x long, y long").unionByName(few)
+    more = seats.join(facts, "cls").groupBy("gram", "i", "j").applyInArrow(lambda block: _block_pairs(block, percent), "x long, y long").unionByName(few)
     return more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), lean
 
 

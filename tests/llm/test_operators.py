@@ -104,6 +104,7 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
     for block, listed in ((1000, 16), (7, 2)):  # in one block, and in several
         monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
         monkeypatch.setattr(ngram_join, "LISTED", listed)
+        monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 100 * block)
         assert {x["doc_id"]: x["n_links"] for x in rows(ngram_join.join(df))} == want
     assert max(want.values()) > 10
 
