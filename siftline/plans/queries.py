@@ -183,7 +183,7 @@ register("rank_topk", f"""WITH {L}, h AS (SELECT *, CASE WHEN regexp_matches(lin
           dense_rank() OVER (ORDER BY sharing) AS s, dense_rank() OVER (ORDER BY depth) AS e FROM g),
     t AS (SELECT *, 0e0 + {rank.WEIGHTS['by_count']}e0 / (c + {rank.SMOOTHING}) + {rank.WEIGHTS['by_density']}e0 / (d + {rank.SMOOTHING})
           + {rank.WEIGHTS['by_shape']}e0 / (s + {rank.SMOOTHING}) + {rank.WEIGHTS['by_depth']}e0 / (e + {rank.SMOOTHING}) + CASE WHEN kind = 'def' THEN {rank.BOOST}e0 WHEN kind IN ('gen', 'mirror') THEN -{rank.DEMOTION}e0 ELSE 0e0 END AS score FROM o)
-    SELECT row_number() OVER (ORDER BY score DESC, path) AS rank, path, line_number, kind, n AS "count", trim(line) AS snippet FROM t ORDER BY score DESC, path LIMIT 20""", lambda d: rank.ranked(d, pat("token|License"), 20))
+    SELECT CAST(row_number() OVER (ORDER BY score DESC, path) AS INTEGER) AS rank, path, line_number, kind, n AS "count", trim(line) AS snippet FROM t ORDER BY score DESC, path LIMIT 20""", lambda d: rank.ranked(d, pat("token|License"), 20))
 
 _indexes: dict[tuple[str, str], str] = {}
 
